@@ -16,7 +16,7 @@ from varspan.params import PRESETS
 from varspan.sources import alignments, intervals, vcf
 
 P = PRESETS["hifi"]
-ONE = F.lit(1)
+ONE = "*"
 
 SIG = """sig AS (
   SELECT CASE WHEN l_linestatus = 'F' THEN 'target' ELSE 'base' END AS sample, concat('chr', CAST(l_partkey % 5 AS string)) AS chrom, l_partkey AS site,
