@@ -66,6 +66,13 @@ def genotype_by_likelihood(ref: Column, alt: Column) -> Column:
     return F.when((a >= b) & (a >= c), "0/0").when(b >= c, "0/1").otherwise("1/1")
 
 
+def span_distance(s1: Column, e1: Column, s2: Column, e2: Column, norm: Column) -> Column:
+    """The least of the distances of starts, ends and centres by ``norm``, plus the relative difference of the spans."""
+    centre = lambda s, e: F.floor((s + e) / 2)
+    near = F.least(F.abs(s1 - s2), F.abs(e1 - e2), F.abs(centre(s1, e1) - centre(s2, e2)))
+    return near / norm + F.abs((e1 - s1) - (e2 - s2)) / F.greatest(e1 - s1, e2 - s2)
+
+
 def reverse_complement(bases: Column) -> Column:
     clean = F.regexp_replace(bases, "[^ACGT]", "N")
     return F.reverse(F.translate(clean, "ACGT", "TGCA"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varspan.functions import calls as C
 from varspan.functions import cigar
 from varspan.jobs.detect import call_variants
-from varspan.operators import cluster, compare, depth, signatures
+from varspan.operators import cluster, compare, depth, positions, reads, rescue, signatures
 from varspan.operators.ranges import overlap_join
 from varspan.params import PRESETS
 from varspan.sources import alignments, intervals, vcf
@@ -482,3 +483,120 @@ def q_top_op(spark, d):
     n = sig(spark, d).groupBy("sample", "chrom", F.floor(F.col("ref_start") / 5000).alias("win"), "op").agg(F.countDistinct("read_id").alias("reads"))
     first = F.when(F.col("op") == "I", -1).when(F.col("op") == "D", -2).otherwise(-3)
     return n.groupBy("sample", "chrom", "win").agg(F.max_by("op", F.struct(F.col("reads"), first)).alias("op"), F.max("reads").alias("reads"))
+
+
+AL = f"""{AE}, al AS (SELECT aln_id, read_id, chrom, ref_start, ref_end, ref_start % 4000 AS read_start, ref_start % 4000 + m1 + m2 + CASE WHEN op = 'I' THEN n ELSE 0 END - 1 AS read_end,
+  CASE WHEN ref_start % 2 = 0 THEN '+' ELSE '-' END AS strand, row_number() OVER (PARTITION BY read_id ORDER BY aln_id) = 1 AS is_primary, CAST(5200 AS bigint) AS read_length FROM a)"""
+ALONG = "ORDER BY read_start + read_end, read_start, read_end, chrom, ref_start, aln_id"
+
+
+def _split_reads(spark, d):
+    x, first = aln(spark, d), Window.partitionBy("read_id").orderBy("aln_id")
+    start = F.col("ref_start") % 4000
+    return x.select(
+        "aln_id", "read_id", "chrom", "ref_start", "ref_end", start.alias("read_start"), (start + cigar.read_span(cigar.tokens(F.col("cigar"))) - 1).alias("read_end"),
+        F.when(F.col("ref_start") % 2 == 0, "+").otherwise("-").alias("strand"), (F.row_number().over(first) == 1).alias("is_primary"), F.lit(5200).cast("long").alias("read_length"),
+    )
+
+
+@query(_sql(AL, f"x AS (SELECT *, lag(read_end) OVER w AS le, lead(read_start) OVER w AS ns, lead(is_primary) OVER w AS np FROM al WINDOW w AS (PARTITION BY read_id {ALONG}))", select="SELECT read_id, aln_id FROM x WHERE is_primary OR NOT (coalesce(le - read_start > 500, false) OR coalesce(np AND read_end - ns > 500, false))"))
+def q_read_overlap_drop(spark, d):
+    return reads.without_overlapping(_split_reads(spark, d)).select("read_id", "aln_id")
+
+
+@query(_sql(AL, f"""x AS (SELECT *, lag(aln_id) OVER w AS bf, lead(read_start) OVER w AS ns, max(CASE WHEN is_primary THEN chrom END) OVER (PARTITION BY read_id) AS own,
+  lead(ref_start) OVER (PARTITION BY read_id, chrom {ALONG}) AS nr FROM al WINDOW w AS (PARTITION BY read_id {ALONG}))""", select="""SELECT read_id, 'I' AS op, chrom, ref_start, ref_start AS ref_end, CAST(0 AS bigint) AS read_start, read_start - 1 AS read_end, read_start AS length FROM x WHERE bf IS NULL AND read_start > 50
+UNION ALL SELECT read_id, 'I', chrom, ref_end, ref_end, read_end + 1, read_length, read_length - read_end FROM x WHERE ns IS NULL AND read_length - read_end > 50
+UNION ALL SELECT read_id, 'I', own, ref_end, ref_end, read_end + 1, ns - 1, ns - read_end - 1 FROM x WHERE ns - read_end - 1 > 50
+UNION ALL SELECT read_id, 'D', chrom, ref_end + 1, nr - 1, read_end, read_end, nr - ref_end - 1 FROM x WHERE nr - ref_end - 1 > 50"""))
+def q_boost_aligns(spark, d):
+    return reads.gap_events(_split_reads(spark, d), P)
+
+
+@query(_sql(AL, f"""x AS (SELECT read_id, aln_id, chrom, CASE WHEN strand = '+' THEN ref_end ELSE ref_start END AS pos, lead(chrom) OVER w AS chrom2,
+  CASE WHEN lead(strand) OVER w = '+' THEN lead(ref_start) OVER w ELSE lead(ref_end) OVER w END AS pos2, lead(strand) OVER w AS strand, CAST(50 AS bigint) AS length FROM al WINDOW w AS (PARTITION BY read_id {ALONG}))""", select="SELECT * FROM x WHERE chrom2 IS NOT NULL AND pos <> pos2 AND (chrom <> chrom2 OR abs(pos - pos2) > 50000)"))
+def q_bnd_from_pair(spark, d):
+    return reads.breakend_pairs(_split_reads(spark, d), P)
+
+
+@query(_sql(SIG, SRC, """g AS (SELECT read_id, first(ref_start ORDER BY ref_start, chrom) AS st, first(chrom ORDER BY ref_start, chrom) AS ch, count(*) AS n, bool_and(op = 'I') AS ins, CAST(sum(length) AS bigint) AS total FROM src GROUP BY read_id),
+f AS (SELECT read_id, any_value(n) AS n, any_value(total) AS length, any_value(ins) AND (any_value(n) > 4 OR bool_or(coalesce(c2 = ch AND abs(s2 - st) > 50000, false))) AS merged FROM src x JOIN (SELECT read_id AS r, * EXCLUDE (read_id) FROM g) ON read_id = r GROUP BY read_id)""", select="SELECT read_id, merged, CAST(CASE WHEN merged THEN 1 ELSE n END AS int) AS parts, length FROM f"))
+def q_merge_split_ins(spark, d):
+    return reads.merge_split_insertions(_with_source(spark, d).withColumnsRenamed({"c2": "src_chrom", "s2": "src_start"}), P)
+
+
+@query(_sql(SIG, "rd AS (SELECT read_id, list(op ORDER BY ref_start, op, length) AS l FROM sig GROUP BY read_id)", "s AS (SELECT read_id % 500 AS cluster, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '+') AS op, count(*) AS support FROM rd GROUP BY ALL)", select="SELECT cluster, op, support, CASE WHEN support >= 5 AND row_number() OVER (PARTITION BY cluster ORDER BY support DESC, op) = 1 THEN cluster % 4 ELSE 0 END AS bonus FROM s"))
+def q_fine_split(spark, d):
+    e = q_hyper_props(spark, d).select((F.col("read_id") % 500).alias("cluster"), "op", "read_id")
+    return rescue.fine_split(e, ["cluster"], e.select("cluster").distinct().withColumn("bonus", F.col("cluster") % 4), P)
+
+
+LOOSE = "loose AS (SELECT DISTINCT concat_ws('-', chrom, op, CAST(ref_start AS string), CAST(length AS string)) AS id, chrom, op, ref_start, length FROM sig WHERE sample = 'base')"
+
+
+def _loose(spark, d):
+    s = sig(spark, d).where("sample = 'base'").select("chrom", "op", "ref_start", "length").distinct()
+    return s.withColumn("id", F.concat_ws("-", "chrom", "op", F.col("ref_start").cast("string"), F.col("length").cast("string")))
+
+
+def _target(spark, d):
+    return calls(spark, d).where("sample = 'target'").withColumnRenamed("site", "call_id")
+
+
+def _first(fits: str, reads_: str = "loose") -> str:
+    return f"SELECT id, arg_min(site, struct_pack(k := -support, s := site)) AS call_id FROM {reads_} x JOIN (SELECT chrom AS c, op AS o, start, length AS n, support, site FROM calls WHERE sample = 'target') ON chrom = c WHERE {fits} GROUP BY id"
+
+
+@query(_sql(SIG, OK, SITE, LOOSE, select=_first("op = o AND abs(length - n) < 20 AND ((op = 'I' AND abs(ref_start - start) < 20) OR (op = 'D' AND abs(ref_start - start) < 50))")))
+def q_rescue_short(spark, d):
+    return rescue.rescue_short(_loose(spark, d), _target(spark, d), P)
+
+
+@query(_sql(SIG, OK, SITE, LOOSE, select=_first("o = 'I' AND op <> 'D' AND abs(ref_start - start) <= 1000")))
+def q_rescue_uncovered(spark, d):
+    return rescue.rescue_uncovered(_loose(spark, d), _target(spark, d), P)
+
+
+@query(_sql(SIG, OK, SITE, BNDS, "ins AS (SELECT chrom AS c, site, start + 30 AS start, support FROM calls WHERE sample = 'target' AND op = 'V' AND site % 3 = 0)", "hit AS (SELECT id, arg_min(site, struct_pack(k := -support, s := site)) AS call_id FROM bn JOIN ins ON (c = chrom AND abs(start - pos) < 50) OR (c = chrom2 AND abs(start - pos2) < 50) GROUP BY id)", select="SELECT bn.id, call_id FROM bn LEFT JOIN hit ON bn.id = hit.id"))
+def q_bnd_absorb(spark, d):
+    b = _bnds(spark, d)
+    ins = _target(spark, d).where("op = 'V' and call_id % 3 = 0").withColumn("start", F.col("start") + 30)
+    return b.select("id").join(rescue.absorbed_breakends(b, ins), "id", "left")
+
+
+@query("""WITH b AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', 'N', 'g') AS b, length(text) // 2 AS pos FROM documents)
+SELECT doc_id FROM b WHERE NOT coalesce(contains(substring(b, CAST(greatest(1, pos - 999) AS bigint), 2000), 'NNNNN'), false) AND NOT coalesce(contains(substring(b, pos + 1, 30), 'NNNNN'), false)""")
+def q_n_filter(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.regexp_replace("text", "[^A-Za-z ]", "N").alias("b"), F.floor(F.length("text") / 2).cast("int").alias("pos"))
+    t = t.select("doc_id", F.substring("b", F.greatest(F.lit(1), F.col("pos") - 999), F.lit(2000)).alias("bases"), F.substring("b", F.col("pos") + 1, F.lit(30)).alias("event"))
+    return rescue.without_unknown_bases(t).select("doc_id")
+
+
+SEG_OP = "span_o AS (SELECT concat(sample, '/', op) AS sample, chrom, read_id, ref_start AS lo, ref_start + length AS hi FROM sig),\n" + re.sub(r"\b(un0|un1|un|ed|seg|span)\b", r"\1_o", SEG)
+
+
+#: Sites are 5000 apart, so runs that overlap are in one window of 5000 from 1000 before a site.
+@query(_sql(SIG, SPAN, SEG, SEG_OP, "o AS (SELECT split_part(sample, '/', 1) AS sample, split_part(sample, '/', 2) AS op, chrom, lo, hi, depth AS n_reads FROM seg_o)", select="SELECT o.sample, o.chrom, o.op, greatest(o.lo, s.lo) AS lo, least(o.hi, s.hi) AS hi, n_reads, depth, CAST(least(100, round_even(100.0::double * n_reads / depth, 0)) AS int) AS pct FROM o JOIN seg s ON s.sample = o.sample AND s.chrom = o.chrom AND (o.lo + 1000) // 5000 = (s.lo + 1000) // 5000 AND o.lo <= s.hi AND s.lo <= o.hi"))
+def q_pos_freq(spark, d):
+    e = sig(spark, d).select("sample", "chrom", "read_id", "op", F.col("ref_start").alias("lo"), (F.col("ref_start") + F.col("length")).alias("hi"))
+    return positions.frequencies(e, spans(spark, d))
+
+
+@query(_sql(SIG, "r0 AS (SELECT *, CASE WHEN lag(op) OVER w = op THEN 0 ELSE 1 END AS fresh FROM sig WINDOW w AS (PARTITION BY read_id ORDER BY ref_start, op, length))", "r1 AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY read_id ORDER BY ref_start, op, length) AS bigint) AS run FROM r0)", select="SELECT read_id, run, op, count(*) AS n FROM r1 GROUP BY ALL"))
+def q_pixel_runs(spark, d):
+    return positions.class_runs(sig(spark, d), ["read_id"], ["ref_start", "op", "length"], "op")
+
+
+@query(_sql(SIG, OK, SITE, select="SELECT sample, site, greatest(f + CASE WHEN op IN ('D', 'V') THEN length ELSE 0 END, f + CASE WHEN op IN ('I', 'V') THEN length ELSE 0 END) / 256.0::double AS ratio FROM (SELECT *, 2 * ((length + 1) * 7 // 10) AS f FROM calls)"))
+def q_img_ratio(spark, d):
+    return positions.image_ratio(cluster.extended(calls(spark, d))).select("sample", "site", "ratio")
+
+
+DIST = "least(abs(start - start2), abs(start + length - start2 - length2), abs((2 * start + length) // 2 - (2 * start2 + length2) // 2)) / length::double + abs(length - length2) / greatest(length, length2)::double"
+
+
+@query(_sql(SIG, OK, SITE, PAIRS, select=f"SELECT target, base, {DIST} AS distance, CASE WHEN op2 = 'I' AND abs(start - start2) < 500 AND least(length, length2) / greatest(length, length2)::double >= 0.8 THEN start ELSE start2 END AS start2 FROM cand"))
+def q_span_distance(spark, d):
+    c = F.col
+    x = _pairs(spark, d).withColumn("distance", C.span_distance(c("start"), c("start") + c("length"), c("start2"), c("start2") + c("length2"), c("length")))
+    return compare.snapped(x).select("target", "base", "distance", "start2")
