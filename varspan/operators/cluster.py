@@ -99,6 +99,6 @@ def mark_poly(calls: DataFrame, p: Params) -> DataFrame:
 
 
 def extended(calls: DataFrame) -> DataFrame:
-    """A window of 0.7 of the length at both sides; a flank over five times the other makes the other grow."""
+    """left and right of a window of 0.7 of the length at both sides; calls have no second source here, so both flanks are equal."""
     e = F.floor((F.col("length") + 1) * 7 / 10)
     return calls.withColumns({"left": F.col("start") - e, "right": F.col("end") + e})
