@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from varspan.functions import calls as C
 from varspan.functions import cigar
-from varspan.jobs.detect import call_variants
-from varspan.operators import cluster, compare, depth, positions, reads, rescue, signatures
+from varspan.jobs.detect import call_variants, split_read_events
+from varspan.operators import cluster, compare, depth, kmers, positions, reads, rescue, signatures
 from varspan.operators.ranges import overlap_join
 from varspan.params import PRESETS
 from varspan.sources import alignments, intervals, vcf
@@ -504,11 +504,15 @@ def q_read_overlap_drop(spark, d):
     return reads.without_overlapping(_split_reads(spark, d)).select("read_id", "aln_id")
 
 
-@query(_sql(AL, f"""x AS (SELECT *, lag(aln_id) OVER w AS bf, lead(read_start) OVER w AS ns, max(CASE WHEN is_primary THEN chrom END) OVER (PARTITION BY read_id) AS own,
-  lead(ref_start) OVER (PARTITION BY read_id, chrom {ALONG}) AS nr FROM al WINDOW w AS (PARTITION BY read_id {ALONG}))""", select="""SELECT read_id, 'I' AS op, chrom, ref_start, ref_start AS ref_end, CAST(0 AS bigint) AS read_start, read_start - 1 AS read_end, read_start AS length FROM x WHERE bf IS NULL AND read_start > 50
+GAP = f"""x AS (SELECT *, lag(aln_id) OVER w AS bf, lead(read_start) OVER w AS ns, max(CASE WHEN is_primary THEN chrom END) OVER (PARTITION BY read_id) AS own,
+  lead(ref_start) OVER (PARTITION BY read_id, chrom {ALONG}) AS nr FROM al WINDOW w AS (PARTITION BY read_id {ALONG})),
+gp AS (SELECT read_id, 'I' AS op, chrom, ref_start, ref_start AS ref_end, CAST(0 AS bigint) AS read_start, read_start - 1 AS read_end, read_start AS length FROM x WHERE bf IS NULL AND read_start > 50
 UNION ALL SELECT read_id, 'I', chrom, ref_end, ref_end, read_end + 1, read_length, read_length - read_end FROM x WHERE ns IS NULL AND read_length - read_end > 50
 UNION ALL SELECT read_id, 'I', own, ref_end, ref_end, read_end + 1, ns - 1, ns - read_end - 1 FROM x WHERE ns - read_end - 1 > 50
-UNION ALL SELECT read_id, 'D', chrom, ref_end + 1, nr - 1, read_end, read_end, nr - ref_end - 1 FROM x WHERE nr - ref_end - 1 > 50"""))
+UNION ALL SELECT read_id, 'D', chrom, ref_end + 1, nr - 1, read_end, read_end, nr - ref_end - 1 FROM x WHERE nr - ref_end - 1 > 50)"""
+
+
+@query(_sql(AL, GAP, select="SELECT * FROM gp"))
 def q_boost_aligns(spark, d):
     return reads.gap_events(_split_reads(spark, d), P)
 
@@ -519,6 +523,60 @@ def q_bnd_from_pair(spark, d):
     return reads.breakend_pairs(_split_reads(spark, d), P)
 
 
+@query(_sql(AL, f"""x AS (SELECT *, first_value(chrom) OVER w AS fc, first_value(strand) OVER w AS fs, max(CASE WHEN is_primary THEN chrom END) OVER (PARTITION BY read_id) AS own FROM al
+  WINDOW w AS (PARTITION BY read_id {ALONG})), y AS (SELECT *, fc <> own AND fs = '-' AS turn FROM x)""", select="""SELECT read_id, aln_id, CASE WHEN turn THEN greatest(0, read_length - read_end) ELSE read_start END AS read_start,
+  CASE WHEN turn THEN least(read_length, read_length - read_start) ELSE read_end END AS read_end, CASE WHEN turn = (strand = '-') THEN '+' ELSE '-' END AS strand FROM y"""))
+def q_read_turns(spark, d):
+    return reads.facing_primary(_split_reads(spark, d)).select("read_id", "aln_id", "read_start", "read_end", "strand")
+
+
+#: Forward alignments are anchors, reverse ones inversions; gaps are insertions and deletions.
+PARTS = """pt AS (SELECT read_id, CASE WHEN strand = '+' THEN 'M' ELSE 'V' END AS op, chrom, ref_start, ref_end, read_start, read_end, ref_end - ref_start + 1 AS length FROM al
+  UNION ALL SELECT read_id, op, chrom, ref_start, ref_end, read_start, read_end, length FROM gp),
+pk AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY read_start + read_end, read_start, read_end, chrom, ref_start, op, length) AS k FROM pt),
+pw AS (SELECT *, count(*) FILTER (op = 'M') OVER (PARTITION BY read_id, chrom ORDER BY k) AS bf, count(*) FILTER (op = 'M') OVER (PARTITION BY read_id, chrom) AS al,
+  count(*) FILTER (op <> 'I') OVER (PARTITION BY read_id ORDER BY k) AS hd, count(*) FILTER (op <> 'I') OVER (PARTITION BY read_id ORDER BY k DESC) AS tl, op <> 'I' AND ref_end - ref_start > 50000 AS far FROM pk),
+pe AS (SELECT read_id, chrom, concat(chrom, ':', CAST(bf AS string)) AS g, k, CASE WHEN far THEN 'B' ELSE op END AS op, ref_start, CASE WHEN far THEN ref_start ELSE ref_end END AS ref_end, CASE WHEN far THEN 1 ELSE length END AS length
+  FROM pw WHERE op <> 'M' AND bf BETWEEN 1 AND al - 1 AND length >= 50
+  UNION ALL SELECT read_id, chrom, '<', k, op, ref_start, ref_end, length FROM pw WHERE hd = 0 UNION ALL SELECT read_id, chrom, '>', -k, op, ref_start, ref_end, length FROM pw WHERE tl = 0)"""
+
+
+def _anchored(spark, d):
+    """Split reads with the op of each alignment, and those with gaps as parts."""
+    a = _split_reads(spark, d).withColumn("op", F.when(F.col("strand") == "+", "M").otherwise("V"))
+    names = ["read_id", "op", "chrom", "ref_start", "ref_end", "read_start", "read_end", "length"]
+    return a, a.withColumn("length", F.col("ref_end") - F.col("ref_start") + 1).select(*names).unionByName(reads.gap_events(a, P).select(*names))
+
+
+@query(_sql(AL, GAP, PARTS, select="SELECT read_id, first(chrom ORDER BY k) AS chrom, string_agg(op, '+' ORDER BY k) AS op, count(*) AS n_parts, min(ref_start) AS ref_start, max(ref_end) AS ref_end, CAST(sum(length) AS bigint) AS length, g IN ('<', '>') AS uncovered FROM pe GROUP BY read_id, g"))
+def q_inter_signatures(spark, d):
+    return reads.between_anchors(_anchored(spark, d)[1], P)
+
+
+@query(_sql(AL, f"""x AS (SELECT read_id, aln_id, chrom, CASE WHEN strand = '+' THEN ref_end ELSE ref_start END AS pos, lead(chrom) OVER w AS chrom2, CASE WHEN lead(strand) OVER w = '+' THEN lead(ref_start) OVER w ELSE lead(ref_end) OVER w END AS pos2,
+  lead(strand) OVER w AS strand, CAST(50 AS bigint) AS length, row_number() OVER w AS k, min(CASE WHEN strand = '+' THEN 0 ELSE 1 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bare, min(CASE WHEN strand = '+' THEN 0 ELSE 1 END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rest
+  FROM al WINDOW w AS (PARTITION BY read_id, chrom {ALONG}))""", select="SELECT read_id, aln_id, chrom, pos, chrom2, pos2, strand, length FROM x WHERE chrom2 IS NOT NULL AND pos <> pos2 AND (bare = 1 OR rest = 1)"))
+def q_unanchored_bnds(spark, d):
+    return reads.unanchored_breakends(_anchored(spark, d)[0], P)
+
+
+def _near(spark, d):
+    """Split reads on a short reference, so that their alignments overlap."""
+    start = F.col("ref_start") % 2000
+    return _split_reads(spark, d).withColumns({"ref_start": start, "ref_end": start + F.col("ref_end") - F.col("ref_start")})
+
+
+# a fold that cuts as it goes has no SQL form; the tests hold it against written cases
+@query()
+def q_resolve_on_ref(spark, d):
+    return reads.resolve_on_reference(_near(spark, d))
+
+
+@query()
+def q_split_read_events(spark, d):
+    return split_read_events(_near(spark, d), P)
+
+
 @query(_sql(SIG, SRC, """g AS (SELECT read_id, first(ref_start ORDER BY ref_start, chrom) AS st, first(chrom ORDER BY ref_start, chrom) AS ch, count(*) AS n, bool_and(op = 'I') AS ins, CAST(sum(length) AS bigint) AS total FROM src GROUP BY read_id),
 f AS (SELECT read_id, any_value(n) AS n, any_value(total) AS length, any_value(ins) AND (any_value(n) > 4 OR bool_or(coalesce(c2 = ch AND abs(s2 - st) > 50000, false))) AS merged FROM src x JOIN (SELECT read_id AS r, * EXCLUDE (read_id) FROM g) ON read_id = r GROUP BY read_id)""", select="SELECT read_id, merged, CAST(CASE WHEN merged THEN 1 ELSE n END AS int) AS parts, length FROM f"))
 def q_merge_split_ins(spark, d):
@@ -587,6 +645,23 @@ def q_pixel_runs(spark, d):
     return positions.class_runs(sig(spark, d), ["read_id"], ["ref_start", "op", "length"], "op")
 
 
+PIXEL = """px AS (SELECT site, read_id, CASE WHEN read_id % 4 < 2 THEN 'BG' WHEN read_id % 4 = 2 THEN 'REF' WHEN read_id % 3 = 0 THEN 'INV' ELSE 'DEL' END AS class FROM sig),
+p0 AS (SELECT *, CASE WHEN lag(class) OVER (PARTITION BY site ORDER BY read_id) = class THEN 0 ELSE 1 END AS fresh FROM px),
+p1 AS (SELECT *, sum(fresh) OVER (PARTITION BY site ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT site, read_id, class, max(fresh) AS fresh, count(*) AS m FROM p0 GROUP BY ALL)),
+p2 AS (SELECT site, run, class, sum(m) AS n FROM p1 GROUP BY ALL),
+p3 AS (SELECT *, first(class) OVER (PARTITION BY site ORDER BY run) AS c1, first(class) OVER (PARTITION BY site ORDER BY run DESC) AS c2, count(*) FILTER (class = 'BG') OVER (PARTITION BY site ORDER BY run) AS allele FROM p2),
+p4 AS (SELECT *, sum(n) OVER (PARTITION BY site, allele) AS pixels FROM p3 WHERE c1 = 'BG' AND c2 = 'BG' AND class <> 'BG'),
+p5 AS (SELECT *, CAST(round(100 * CAST(printf('%.2f', n::double / pixels) AS double)) AS bigint) AS share FROM p4)"""
+
+
+@query(_sql(SIG, PIXEL, select="SELECT site, allele, CASE WHEN allele % 2 = 1 THEN 'base' ELSE 'target' END AS source, CAST(any_value(pixels) AS bigint) AS pixels, coalesce(sum(share) FILTER (class = 'REF'), 0) / 100::double AS ref_vaf, coalesce(sum(share) FILTER (class <> 'REF'), 0) / 100::double AS alt_vaf, coalesce(last(class ORDER BY run) FILTER (class <> 'REF'), 'NA') AS alt_class FROM p5 GROUP BY site, allele"))
+def q_pixel_alleles(spark, d):
+    r = F.col("read_id")
+    kind = F.when(r % 4 < 2, "BG").when(r % 4 == 2, "REF").when(r % 3 == 0, "INV").otherwise("DEL")
+    px = sig(spark, d).select("site", "read_id", kind.alias("class"))
+    return positions.pixel_alleles(positions.class_runs(px, ["site"], ["read_id"], "class"), ["site"], "class")
+
+
 @query(_sql(SIG, OK, SITE, select="SELECT sample, site, greatest(f + CASE WHEN op IN ('D', 'V') THEN length ELSE 0 END, f + CASE WHEN op IN ('I', 'V') THEN length ELSE 0 END) / 256.0::double AS ratio FROM (SELECT *, 2 * ((length + 1) * 7 // 10) AS f FROM calls)"))
 def q_img_ratio(spark, d):
     return positions.image_ratio(cluster.extended(calls(spark, d))).select("sample", "site", "ratio")
@@ -600,3 +675,31 @@ def q_span_distance(spark, d):
     c = F.col
     x = _pairs(spark, d).withColumn("distance", C.span_distance(c("start"), c("start") + c("length"), c("start2"), c("start2") + c("length2"), c("length")))
     return compare.snapped(x).select("target", "base", "distance", "start2")
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BASES = ("ACGT" * 13)[: len(LETTERS)]
+KMER = f"""kb AS (SELECT doc_id AS id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}') AS ref FROM documents),
+kq AS (SELECT id, ref, CASE WHEN id % 2 = 0 THEN q ELSE reverse(translate(q, 'ACGT', 'TGCA')) END AS q FROM (SELECT *, substr(ref, length(ref) // 3 + 1, length(ref) // 3) AS q FROM kb)),
+ks AS (SELECT id, 'r' AS side, ref AS b FROM kq UNION ALL SELECT id, '+', q FROM kq UNION ALL SELECT id, '-', reverse(translate(q, 'ACGT', 'TGCA')) FROM kq),
+kk AS (SELECT id, side, i AS pos, substr(b, CAST(i + 1 AS bigint), 17) AS kmer FROM ks, unnest(range(0, length(b) - 16)) t(i) WHERE length(b) >= 17),
+k1 AS (SELECT id, side, kmer, any_value(pos) AS pos FROM kk GROUP BY ALL HAVING count(*) = 1),
+kp AS (SELECT q.id, q.side AS strand, q.pos AS query_pos, r.pos AS ref_pos FROM k1 q JOIN k1 r ON q.id = r.id AND q.kmer = r.kmer WHERE q.side <> 'r' AND r.side = 'r')"""
+
+
+def _kmer_pairs(spark, d):
+    """Each document as a reference, and its middle third as a query, reversed for odd ids."""
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, BASES).alias("ref"))
+    third = F.floor(F.length("ref") / 3).cast("int")
+    t = t.withColumn("query", F.substring("ref", third + 1, third))
+    return t.withColumn("query", F.when(F.col("id") % 2 == 0, F.col("query")).otherwise(C.reverse_complement(F.col("query"))))
+
+
+@query(_sql(KMER, select="SELECT * FROM kp"))
+def q_kmer_seeds(spark, d):
+    return kmers.seeds(_kmer_pairs(spark, d))
+
+
+@query(_sql(KMER, "kr AS (SELECT *, query_pos - row_number() OVER (PARTITION BY id, strand, ref_pos - query_pos ORDER BY query_pos) AS run FROM kp)", select="SELECT id, strand, min(query_pos) AS query_start, min(ref_pos) AS ref_start, count(*) + 16 AS length FROM kr GROUP BY id, strand, ref_pos - query_pos, run HAVING count(*) + 16 >= 30"))
+def q_kmer_segments(spark, d):
+    return kmers.segments(kmers.seeds(_kmer_pairs(spark, d)))
