@@ -18,7 +18,7 @@ CHUNK = 4096
 ASKED = 4096
 #: Columns of a block of the rotated vectors.
 STEP = 16
-#: Standard deviations that a candidate's estimate may lie below the bound before it is given up.
+#: Standard deviations that a candidate's estimated distance may lie above the bound's before it is given up.
 SIGMAS = 3.0
 #: Share of the true neighbours, on the sample, that the probed lists must hold.
 AIM = 0.96
@@ -74,8 +74,9 @@ def _scan(dim: int, top: int):
         qids, qs, bounds = queries["query_id"].to_numpy(), matrix(queries["q"]), queries["bound"].to_numpy()
         edges = list(range(0, dim, STEP)) + [dim]
         xr, qr = x @ turn, qs @ turn
-        rest = lambda m: [np.sqrt((m[:, e:] ** 2).sum(axis=1)) for e in edges[1:-1]]
-        x_rest, q_rest = rest(xr), rest(qr)
+        seen = lambda m: [(m[:, :e] ** 2).sum(axis=1) for e in edges[1:]]
+        x_seen, q_seen = seen(xr), seen(qr)
+        xx, qq = x_seen[-1], q_seen[-1]
         first = qr[:, : edges[1]] @ xr[:, : edges[1]].T
         out = []
         for k, qid in enumerate(qids):
@@ -83,9 +84,13 @@ def _scan(dim: int, top: int):
             for s in range(1, len(edges)):
                 if s > 1:
                     part = part + xr[alive, edges[s - 1] : edges[s]] @ qr[k, edges[s - 1] : edges[s]]
-                if s < len(edges) - 1:  # the unseen part is about normal around 0 after a random rotation
-                    slack = SIGMAS / math.sqrt(dim - edges[s]) * q_rest[s - 1][k] * x_rest[s - 1][alive]
-                    keep = part + slack >= bound
+                if s < len(edges) - 1:
+                    # a product of the bound or more is a squared distance of the limit or less, and of a
+                    # difference that is turned at random, d columns hold the share d / dim, give or take
+                    d = edges[s]
+                    limit = xx[alive] + qq[k] - 2 * bound
+                    near = limit * (1 + SIGMAS * math.sqrt(2 * (dim - d) / (d * (dim + 2)))) + 1e-9 * (xx[alive] + qq[k])
+                    keep = (x_seen[s - 1][alive] + q_seen[s - 1][k] - 2 * part) * (dim / d) <= near
                 else:
                     keep = part >= bound - 1e-9 * max(1.0, abs(bound)) if np.isfinite(bound) else np.ones(len(part), bool)
                 alive, part = alive[keep], part[keep]
