@@ -566,6 +566,17 @@ def _near(spark, d):
     return _split_reads(spark, d).withColumns({"ref_start": start, "ref_end": start + F.col("ref_end") - F.col("ref_start")})
 
 
+@query(_sql(AL, f"""x AS (SELECT *, first_value(chrom) OVER w AS home, CASE WHEN strand = '+' THEN 'M' ELSE 'V' END AS op FROM al WINDOW w AS (PARTITION BY read_id {ALONG})),
+y AS (SELECT *, chrom = home AS own, row_number() OVER (PARTITION BY read_id {ALONG}) AS k FROM x),
+z AS (SELECT *, max(CASE WHEN own THEN k END) OVER (PARTITION BY read_id ORDER BY k) AS at, max(CASE WHEN own THEN k END) OVER (PARTITION BY read_id) AS top FROM y),
+m AS (SELECT z.*, NOT z.own AND z.k < z.top AS moved, a.ref_end AS e, a.strand AS s FROM z JOIN y a ON a.read_id = z.read_id AND a.k = z.at)""", select="""SELECT read_id, aln_id, CASE WHEN moved THEN 'I' ELSE op END AS op, CASE WHEN moved THEN home ELSE chrom END AS chrom, CASE WHEN moved THEN e ELSE ref_start END AS ref_start,
+  CASE WHEN moved THEN e ELSE ref_end END AS ref_end, CASE WHEN moved THEN s ELSE strand END AS strand, CASE WHEN moved THEN chrom END AS src_chrom, CASE WHEN moved THEN ref_start END AS src_start FROM m"""))
+def q_foreign_stretches(spark, d):
+    none = {f"src_{n}": F.lit(None).cast(t) for n, t in (("chrom", "string"), ("start", "long"), ("end", "long"), ("strand", "string"))}
+    out = reads.foreign_stretches(_anchored(spark, d)[0].withColumns(none))
+    return out.select("read_id", "aln_id", "op", "chrom", "ref_start", "ref_end", "strand", "src_chrom", "src_start")
+
+
 # a fold that cuts as it goes has no SQL form; the tests hold it against written cases
 @query()
 def q_resolve_on_ref(spark, d):
