@@ -225,6 +225,56 @@ def test_op8(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited(rng, words, edits):
+    """The words with so many of them replaced, spread evenly."""
+    w = list(words)
+    for e in range(edits):
+        w[int((e + 0.5) * len(w) / edits)] = f"new{rng.randrange(10**9)}"
+    return w
+
+
+def strangers():
+    """Couples that share a passage with all others, and copies of one text that isn't there."""
+    rng = random.Random(12)
+    passage, texts = prose(rng, 60).split(), []
+    for _ in range(24):
+        own = prose(rng, 40).split()
+        texts += [passage + own, passage + edited(rng, own, 15)]
+    center = prose(rng, 100).split()
+    texts += [center[:k] + edited(rng, center[k : k + 60], 9) + center[k + 60 :] for k in range(0, 40, 4)]
+    rng.shuffle(texts)
+    return texts
+
+
+def classes(texts):
+    """The classes by brute force over the texts that have a sketch in common."""
+    sk = [set(near_dup.sketch(near_dup.coded(w, near_dup._Words()), near_dup.K, near_dup.MINIMA, near_dup.SKETCHES).tolist()) for w in texts]
+    up = list(range(len(texts)))
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if sk[i] & sk[j] and levenshtein(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-9]
+    for _ in texts:
+        for i, j in links:
+            up[i] = up[j] = min(up[i], up[j])
+    return dict(enumerate(up))
+
+
+def test_op8_strangers_of_a_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8, raising=False)
+    texts = strangers()
+    want = classes(texts)
+    assert len(set(want.values())) < len(texts) - 20
+    got = near_dup.near_duplicates(docs(spark, [(i, " ".join(w), "s") for i, w in enumerate(texts)])).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_op9(spark):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:77>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     pages = [(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "u\r\nv", "x" + inner + "y"), (5, "u", "WARC/1.0\r\n"), (6, "u", "é" * 100), (7, "u", ""), (8, "u", "WARC/1.0\r\nContent-Length: 99999\r\n\r\nzz" + inner * 3), (2, "u", "same")]

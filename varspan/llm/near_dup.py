@@ -16,6 +16,8 @@ from varspan.llm.components import connected_components
 
 #: Words of a k-mer, minima of a sketch, sketches, and the least similarity of a link.
 K, MINIMA, SKETCHES, SIMILARITY = 5, 3, 24, 0.8
+#: Counts that a text's words are dealt to, rows of a block, and pairs that are compared at once.
+BINS, BLOCK, AT_ONCE = 128, 2048, 200_000
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,6 +81,22 @@ def sketch(w: np.ndarray, k: int, minima: int, sketches: int) -> np.ndarray:
     return out
 
 
+def histogram(w: np.ndarray) -> bytes:
+    """Counts of the words by hash, 255 at most. An edit moves two counts by one, and a bound on counts only lowers their difference."""
+    return np.minimum(np.bincount(w % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lengths and histograms allow a link; false only where the edit distance is surely too great."""
+    most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+    apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+    return apart + np.abs(n - m) <= 2 * most
+
+
+def _bins(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+
+
 def _gap(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two runs within a band of ``most`` around the diagonal; above ``most``: most + 1."""
     n, m = len(a), len(b)
@@ -187,16 +205,85 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     return pairs.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
+def _allowed(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that lengths and histograms allow to link."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            yield batch.select(["a", "b"]).filter(pa.array(_may_link(n, m, _bins(batch.column("ha")), _bins(batch.column("hb")), similarity), pa.bool_()))
+
+    left = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha"))
+    right = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long")
+
+
+def _met(members: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of members (bucket, rep, c) that share a bucket, differ in class c and may link.
+
+    A bucket is dealt to blocks of about BLOCK members, and each two blocks of it meet in one group of
+    rows; pairs are made in arrays of bounded length inside a group and leave it only if they may link.
+    """
+
+    def pairs_of(t: pa.Table):
+        g, n, c, rep, side = (t.column(x).to_numpy() for x in ("g", "n", "c", "rep", "side"))
+        h = _bins(t.column("hist"))
+        order = np.lexsort((n, g))
+        g, n, c, rep, side, h = g[order], n[order], c[order], rep[order], side[order], h[order]
+        group = np.cumsum(np.append(False, g[1:] != g[:-1])).astype(np.int64)
+        wide = np.int64(1) << 32
+        last = np.searchsorted(group * wide + n, group * wide + (n / similarity + 1).astype(np.int64), "right")
+        width = last - np.arange(len(n)) - 1
+        done = np.append(0, np.cumsum(width))
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + AT_ONCE, "right")) - 1)
+            w = width[lo:hi]
+            i = np.repeat(np.arange(lo, hi), w)
+            j = i + 1 + np.arange(len(i)) - np.repeat(done[lo:hi] - done[lo], w)
+            ok = (c[i] != c[j]) & ((side[i] < 0) | (side[i] != side[j]))
+            i, j = i[ok], j[ok]
+            ok = _may_link(n[i], n[j], h[i], h[j], similarity)
+            x, y = rep[i[ok]], rep[j[ok]]
+            if len(x):
+                yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            lo = hi
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows >= 2 * BLOCK:
+                g = held.column("g").to_numpy()
+                cut = int(np.searchsorted(g, g[-1]))
+                for got in pairs_of(held.slice(0, cut)) if cut else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                held = held.slice(cut)
+        for got in pairs_of(held) if held is not None and held.num_rows else ():
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    size = members.groupBy("bucket").agg(F.min("c").alias("_min"), F.max("c").alias("_max"), F.count(F.lit(1)).alias("_n")).where("_min < _max")
+    size = save(size.select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = members.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.select("bucket", "rep", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    g = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") < F.col("other")).cast("int"))
+    # members of a block meet each other in the block's own group only
+    rows = save(rows.select("rep", g.alias("g"), side.alias("side"), "c"), "blocks")
+    rows = rows.join(facts, "rep").select("g", "side", "rep", "c", "n", "hist").repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b")
+
+
 def near_duplicates(documents: DataFrame, k: int = K, minima: int = MINIMA, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, kept of every document: class_id is the smallest doc_id that links reach.
 
     Texts are lower-cased words. Equal ones are one class before anything else, so a text that a
     third of all rows repeat costs one row. Other texts are candidates when one of their sketches
     agrees, and link when an alignment of their words has at most (1 - similarity) edits for each
-word of the longer. A bucket of equal sketches is not paired up: its members meet its smallest
-    member. Where a bucket holds strangers, its members meet again in the buckets of two equal
-    sketches, which near texts share many of and texts with one passage in common few. No bucket,
-    partner or candidate is capped; what the sketches don't bring together is not compared.
+    word of the longer. The members of a bucket of equal sketches meet its smallest member first.
+    Where a bucket then holds more than one class, all its pairs of different classes meet, in
+    blocks. A pair is dropped without alignment only if its lengths or counts of words rule a link
+    out. No bucket, partner or candidate is capped.
 
     Empty and null texts are never near anything: each is its own class, and kept. Rows that
     repeat a doc_id share its class; a null doc_id has a null class and is kept.
@@ -204,21 +291,27 @@ word of the longer. A bucket of equal sketches is not paired up: its members mee
     bound_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where("doc_id is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("sk", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("sk", pa.list_(pa.int64())), ("n", pa.int32()), ("hist", pa.binary())])
 
     def sketched(batches):
         memo = _Words()
         for batch in batches:
-            keys, sk = [], []
+            rows = []
             for text in batch.column(1).to_pylist():
                 w = words_of(text)
-                keys.append(hashlib.md5(" ".join(w).encode("utf-8", "replace")).digest() if w else None)
-                sk.append(sketch(coded(w, memo), k, minima, sketches).view(np.int64) if w else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sk, pa.list_(pa.int64()))], schema=schema)
-
-    sk = save(docs.mapInArrow(sketched, "doc_id long, key binary, sk array<long>"), "sketches")
+                if not w:
+                    rows.append((None, None, None, None))
+                    continue
+                c = coded(w, memo)
+                rows.append((hashlib.md5(" ".join(w).encode("utf-8", "replace")).digest(), sketch(c, k, minima, sketches).view(np.int64), len(w), histogram(c)))
+            got = [pa.array([r[x] for r in rows], schema.field(x + 1).type) for x in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *got], schema=schema)
+
+    sk = save(docs.mapInArrow(sketched, "doc_id long, key binary, sk array<long>, n int, hist binary"), "sketches")
     some = sk.where("key is not null")
-    reps = save(some.groupBy("key").agg(F.min(F.struct("doc_id", "sk")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), F.col("m.sk").alias("sk")), "reps")
+    reps = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sk", "n", "hist"), "doc_id").alias("m"))
+    reps = save(reps.select("key", "rep", "m.sk", "m.n", "m.hist"), "reps")
+    facts = reps.select("rep", "n", "hist")
     bands = reps.select("rep", F.explode("sk").alias("bucket"))
     # a bucket's rows: only those of two members or more go on
     leads = save(bands.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("_max")).where("lead < _max").select("bucket", "lead"), "leads")
@@ -234,20 +327,15 @@ word of the longer. A bucket of equal sketches is not paired up: its members mee
 
     needed = members.groupBy(F.col("rep").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).select("doc_id")
     words = save(docs.join(needed, "doc_id", "left_semi").mapInArrow(word_codes, "doc_id long, w array<int>").dropDuplicates(["doc_id"]), "words")
-    links = save(_verified(pairs, words, similarity), "links")
-    # members of buckets that hold strangers meet again in buckets of two equal sketches
-    label = save(links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("c")), "labels")
-    named = members.join(label, "rep", "left").select("bucket", "rep", F.coalesce("c", "rep").alias("c"))
-    mixed = named.groupBy("bucket").agg(F.min("c").alias("_min"), F.max("c").alias("_max")).where("_min < _max").select("bucket")
-    strangers = save(members.join(save(mixed, "mixed"), "bucket", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("n")).select("rep"), "strangers")
-    two = [(i, j) for i in range(sketches) for j in range(i)]
-    keys = F.explode(F.array(*[F.xxhash64(F.col("sk")[i], F.col("sk")[j]) for i, j in two])).alias("bucket")
-    again = reps.select("rep", "sk").join(strangers, "rep", "left_semi").join(label, "rep", "left").select("rep", F.coalesce("c", "rep").alias("c"), keys)
-    low = again.groupBy("bucket").agg(F.min(F.struct("rep", "c")).alias("m"), F.min("c").alias("_min"), F.max("c").alias("_max")).where("_min < _max")
-    low = save(low.select("bucket", F.col("m.rep").alias("lead"), F.col("m.c").alias("lead_c")), "leads")
-    again = again.join(low, "bucket").where("c <> lead_c").groupBy(F.col("lead").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b")
-    again = save(again.join(pairs, ["a", "b"], "left_anti"), "again")
-    comp = save(connected_components(links.unionByName(_verified(again, words, similarity))), "components")
+    links = save(_verified(save(_allowed(pairs, facts, similarity), "near"), words, similarity), "links")
+    comp = save(connected_components(links), "components")
+    # members of buckets that hold more than one class meet each other
+    named = save(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "named")
+    forget(members)
+    again = save(_met(named, facts, similarity).join(pairs, ["a", "b"], "left_anti"), "again")
+    more = save(_verified(again, words, similarity), "links")
+    if not more.isEmpty():
+        comp = save(connected_components(comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
     named = reps.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     named = save(named, "classes")
     out = sk.where("key is not null").select("doc_id", "key").join(named, "key").select("doc_id", "class_id")
