@@ -242,6 +242,30 @@ def edited(rng, words, edits):
     return w
 
 
+def sketches(w):
+    return set(near_dup.sketches_of(near_dup.coded(w, near_dup._Words()), near_dup.K, near_dup.MINIMA, near_dup.SKETCHES, near_dup.SIMILARITY).tolist())
+
+
+@pytest.mark.parametrize("n", [5, 10, 20, 40, 45, 50, 60, 100, 300])
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_op8_recall_of_sketches(n, similarity):
+    rng, found = random.Random(n), 0
+    edits = int((1 - similarity) * n + 1e-9) or 1
+    for _ in range(200):
+        w = prose(rng, n).split()
+        found += bool(sketches(w) & sketches(edited(rng, w, edits)))
+    assert found >= 0.97 * 200
+
+
+def test_op8_links_short_texts(spark):
+    rng = random.Random(13)
+    texts = [prose(rng, n).split() for n in (5, 10, 25, 41, 50, 100) for _ in range(8)]
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(texts)] + [(100 + i, " ".join(edited(rng, w, len(w) // 5)), "s") for i, w in enumerate(texts)]
+    rows += [(200 + i, " ".join(w + edited(rng, w, len(w))[: len(w) // 5]), "s") for i, w in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert sum(got[i] == i % 100 for i in got) >= 0.97 * len(got)
+
+
 def strangers():
     """Couples that share a passage with all others, and copies of one text that isn't there."""
     rng = random.Random(12)
@@ -257,7 +281,7 @@ def strangers():
 
 def classes(texts):
     """The classes by brute force over the texts that have a sketch in common."""
-    sk = [set(near_dup.sketch(near_dup.coded(w, near_dup._Words()), near_dup.K, near_dup.MINIMA, near_dup.SKETCHES).tolist()) for w in texts]
+    sk = [sketches(w) for w in texts]
     up = list(range(len(texts)))
     links = [(i, j) for j in range(len(texts)) for i in range(j) if sk[i] & sk[j] and levenshtein(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-9]
     for _ in texts:

@@ -15,7 +15,11 @@ from varspan.llm.common import bound_batches, forget, save
 from varspan.llm.components import connected_components
 
 #: Words of a k-mer, minima of a sketch, sketches, and the least similarity of a link.
-K, MINIMA, SKETCHES, SIMILARITY = 5, 3, 24, 0.8
+K, MINIMA, SKETCHES, SIMILARITY = 2, 2, 24, 0.8
+#: Short texts have at most so many words; they have sketches of k-mers and minima of their own.
+SHORT, SHORT_K, SHORT_MINIMA = 50, 1, 3
+#: Words of the k-mers that chain an alignment.
+CHAIN = 5
 #: Counts that a text's words are dealt to, rows of a block, and pairs that are compared at once.
 BINS, BLOCK, AT_ONCE = 128, 2048, 200_000
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +85,16 @@ def sketch(w: np.ndarray, k: int, minima: int, sketches: int) -> np.ndarray:
     return out
 
 
+def sketches_of(w: np.ndarray, k: int, minima: int, sketches: int, similarity: float) -> np.ndarray:
+    """The sketches of a text. Lengths that can link to a short and to a longer text have both kinds, so that links don't end at SHORT."""
+    out = []
+    if len(w) <= SHORT:
+        out.append(_mix(sketch(w, SHORT_K, SHORT_MINIMA, sketches) + _P))
+    if len(w) > int(SHORT * similarity):
+        out.append(sketch(w, k, minima, sketches))
+    return np.concatenate(out)
+
+
 def histogram(w: np.ndarray) -> bytes:
     """Counts of the words by hash, 255 at most. An edit moves two counts by one, and a bound on counts only lowers their difference."""
     return np.minimum(np.bincount(w % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
@@ -131,7 +145,7 @@ def _gap(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(min(row[m], most + 1))
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int, k: int = K) -> int:
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int, k: int = CHAIN) -> int:
     """Words to insert, delete or replace, by an alignment through shared k-mers; above ``most``: more than ``most``.
 
     k-mers that are unique in both texts and lie within the band chain the alignment, the longest
@@ -279,7 +293,7 @@ def near_duplicates(documents: DataFrame, k: int = K, minima: int = MINIMA, sket
 
     Texts are lower-cased words. Equal ones are one class before anything else, so a text that a
     third of all rows repeat costs one row. Other texts are candidates when one of their sketches
-    agrees, and link when an alignment of their words has at most (1 - similarity) edits for each
+    agrees (of two 2-word k-mers, in texts of up to SHORT words of three words), and link when an alignment of their words has at most (1 - similarity) edits for each
     word of the longer. The members of a bucket of equal sketches meet its smallest member first.
     Where a bucket then holds more than one class, all its pairs of different classes meet, in
     blocks. A pair is dropped without alignment only if its lengths or counts of words rule a link
@@ -303,7 +317,7 @@ def near_duplicates(documents: DataFrame, k: int = K, minima: int = MINIMA, sket
                     rows.append((None, None, None, None))
                     continue
                 c = coded(w, memo)
-                rows.append((hashlib.md5(" ".join(w).encode("utf-8", "replace")).digest(), sketch(c, k, minima, sketches).view(np.int64), len(w), histogram(c)))
+                rows.append((hashlib.md5(" ".join(w).encode("utf-8", "replace")).digest(), sketches_of(c, k, minima, sketches, similarity).view(np.int64), len(w), histogram(c)))
             got = [pa.array([r[x] for r in rows], schema.field(x + 1).type) for x in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *got], schema=schema)
 
