@@ -242,6 +242,22 @@ def edited(rng, words, edits):
     return w
 
 
+def test_edit_distance_decides_exactly():
+    rng = random.Random(14)
+    for turn in range(400):
+        a = [rng.randint(0, 3 if turn % 2 else 200) for _ in range(rng.randint(1, 90))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at, n = rng.randrange(len(b) + 1), rng.randint(1, 12)
+            run, b[at : at + n] = b[at : at + n], []
+            at = rng.randrange(len(b) + 1)
+            b[at:at] = run
+        b = b[rng.randint(0, 3) :] + [rng.randint(0, 3) for _ in range(rng.randint(0, 3))]
+        d = levenshtein(a, b)
+        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+        assert near_dup.edit_distance(x, y, d) == d and (d == 0 or near_dup.edit_distance(x, y, d - 1) > d - 1)
+
+
 def sketches(w):
     return set(near_dup.sketches_of(near_dup.coded(w, near_dup._Words()), near_dup.K, near_dup.MINIMA, near_dup.SKETCHES, near_dup.SIMILARITY).tolist())
 

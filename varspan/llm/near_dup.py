@@ -145,8 +145,41 @@ def _gap(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(min(row[m], most + 1))
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int, k: int = CHAIN) -> int:
-    """Words to insert, delete or replace, by an alignment through shared k-mers; above ``most``: more than ``most``.
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Words to insert, delete or replace; above ``most`` only if every alignment needs more than ``most``.
+
+    An alignment through shared k-mers is quick and mostly enough; where it needs too much, the whole table decides.
+    """
+    found = _chained(a, b, most)
+    return found if found <= most else _whole(a, b, most)
+
+
+def _whole(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance; above ``most``: most + 1. A column of the table is two integers with a bit for each row, that rises or falls there."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    if not n or not m:
+        return max(n, m)
+    at: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        at[x] = at.get(x, 0) | 1 << i
+    every, top = (1 << n) - 1, n - 1
+    up, down, score = every, 0, n
+    for j, y in enumerate(b.tolist()):
+        same = at.get(y, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more, less = down | (every & ~(diagonal | up)), diagonal & up
+        score += (more >> top & 1) - (less >> top & 1)
+        if score - (m - 1 - j) > most:
+            return most + 1
+        more, less = more << 1 | 1, less << 1
+        up, down = every & (less | ~(diagonal | more)), more & diagonal & every
+    return score
+
+
+def _chained(a: np.ndarray, b: np.ndarray, most: int, k: int = CHAIN) -> int:
+    """Edits of an alignment through shared k-mers, which may be more than the edit distance; above ``most``: more than ``most``.
 
     k-mers that are unique in both texts and lie within the band chain the alignment, the longest
     rising chain of them; only what lies between is aligned word by word within the band.
