@@ -148,8 +148,14 @@ def _gap(a: np.ndarray, b: np.ndarray, most: int) -> int:
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Words to insert, delete or replace; above ``most`` only if every alignment needs more than ``most``.
 
-    An alignment through shared k-mers is quick and mostly enough; where it needs too much, the whole table decides.
+    Counts of words rule most unlike texts out. An alignment through shared k-mers is quick and mostly enough; where it
+    needs too much, the whole table decides.
     """
+    _, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = (np.bincount(v, minlength=len(at)) for v in (at[: len(a)], at[len(a) :]))
+    apart = max(len(a), len(b)) - int(np.minimum(x, y).sum())
+    if apart > most:
+        return apart
     found = _chained(a, b, most)
     return found if found <= most else _whole(a, b, most)
 
