@@ -259,7 +259,7 @@ def test_edit_distance_decides_exactly():
 
 
 def sketches(w):
-    return set(near_dup.sketches_of(near_dup.coded(w, near_dup._Words()), near_dup.K, near_dup.MINIMA, near_dup.SKETCHES, near_dup.SIMILARITY).tolist())
+    return set(near_dup.sketches_of(near_dup.codes(" ".join(w))[1], near_dup.K, near_dup.MINIMA, near_dup.SKETCHES, near_dup.SIMILARITY).tolist())
 
 
 @pytest.mark.parametrize("n", [5, 10, 20, 40, 45, 50, 60, 100, 300])
@@ -315,6 +315,51 @@ def test_op8_strangers_of_a_bucket_meet(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_op8_rows_that_share_a_doc_id(spark):
+    rng = random.Random(15)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (7, c, "s"), (7, c, "s"), (8, b.upper(), "s"), (9, "", "s"), (9, "", "s"), (7, a, "s"), (7, c.upper(), "s")]
+    df = docs(spark, rows).withColumns({"row": F.lit(1), "whole": F.lit("w"), "class_id": F.lit(2), "again": F.lit(3), "n": F.lit(4), "tid": F.lit(5)})
+    out = near_dup.dedup_documents(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id, (r.text or "").lower(), r.whole, r.n) for r in out.collect())
+    assert got == sorted([(3, a, "w", 4), (5, b, "w", 4), (7, c, "w", 4), (9, "", "w", 4), (9, "", "w", 4)])
+    judged = near_dup.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.class_id) for r in judged) == [(3, 3), (5, 3), (5, 5), (7, 3), (7, 7), (7, 7), (7, 7), (8, 5), (9, 9), (9, 9)]
+    # of two texts that differ in case only, one stands for the class
+    assert all(r.kept == (r.doc_id == r.class_id) for r in judged if r.doc_id != 7) and sum(r.kept for r in judged if r.class_id == 7) in (1, 2)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_op8_recall_against_brute_force(spark, similarity):
+    """Links of edited copies, edits at random places, found of those that are 0.8 similar by the plain edit distance."""
+    rng, texts = random.Random(int(similarity * 100)), []
+    for _ in range(60):
+        w = prose(rng, rng.randint(8, 220)).split()
+        copy = list(w)
+        for at in rng.sample(range(len(w)), int((1 - similarity) * len(w))):
+            copy[at] = f"new{rng.randrange(10**9)}"
+        texts += [w, copy]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, [(i, " ".join(w), "s") for i, w in enumerate(texts)])).collect()}
+    links = [i for i in range(0, len(texts), 2) if levenshtein(texts[i], texts[i + 1]) <= 0.2 * len(texts[i]) + 1e-9]
+    assert len(links) == 60 and sum(got[i + 1] == i for i in links) >= 0.97 * len(links)
+
+
+def test_op8_histograms_never_rule_out_a_link():
+    rng = random.Random(16)
+    texts = [[f"w{rng.randrange(40)}" for _ in range(n)] for n in (20, 500, 512, 513, 640, 2047, 2600)]
+    pairs = [(w, edited(rng, w, max(1, len(w) // 5 - 1))[: len(w) - k]) for w in texts for k in (0, 1)]
+    pairs += [(w, w + w[: len(w) // 5]) for w in texts]
+    codes = [tuple(near_dup.codes(" ".join(w))[1] for w in p) for p in pairs]
+    x, y = (near_dup._Facts(np.array([len(p[k]) for p in codes]), [near_dup.histogram(p[k]) for p in codes]) for k in (0, 1))
+    at = np.arange(len(pairs))
+    near = [near_dup.edit_distance(a, b, int(0.2 * max(len(a), len(b)) + 1e-9)) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in codes]
+    allowed = x.may_link(at, y, at, 0.8)
+    assert sum(near) > len(pairs) // 2 and all(allowed[i] for i in at if near[i])
+    far = near_dup._Facts(np.array([400]), [near_dup.histogram(near_dup.codes(prose(rng, 400))[1])])
+    assert not x.may_link(np.array([2]), far, np.array([0]), 0.8).any()
+
+
 def test_op9(spark):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:77>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     pages = [(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "u\r\nv", "x" + inner + "y"), (5, "u", "WARC/1.0\r\n"), (6, "u", "é" * 100), (7, "u", ""), (8, "u", "WARC/1.0\r\nContent-Length: 99999\r\n\r\nzz" + inner * 3), (2, "u", "same")]

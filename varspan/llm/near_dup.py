@@ -8,21 +8,25 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varspan.llm.common import bound_batches, forget, save
 from varspan.llm.components import connected_components
 
 #: Words of a k-mer, minima of a sketch, sketches, and the least similarity of a link.
-K, MINIMA, SKETCHES, SIMILARITY = 2, 2, 24, 0.8
-#: Short texts have at most so many words; they have sketches of k-mers and minima of their own.
-SHORT, SHORT_K, SHORT_MINIMA = 50, 1, 3
+K, MINIMA, SKETCHES, SIMILARITY = 2, 3, 56, 0.8
+#: Short texts have sketches of single words: (most words, minima) of each kind. Two lengths that can link share a kind.
+SHORT = ((12, 3), (50, 5))
 #: Words of the k-mers that chain an alignment.
-CHAIN = 5
-#: Counts that a text's words are dealt to, rows of a block, and pairs that are compared at once.
-BINS, BLOCK, AT_ONCE = 128, 2048, 200_000
-_M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+CHAIN = 3
+#: Counts that a text's words are dealt to: the first that has one for every WORDS_A_BIN words or more.
+BINS, WORDS_A_BIN = (128, 512, 2048, 8192), 4
+#: Rows of a block, and pairs that are compared at once.
+BLOCK, AT_ONCE = 2048, 200_000
+#: Low bits of a hash that give way to the place of its k-mer, and k-mers that are sketched at once.
+PLACE, CHUNK = np.uint64((1 << 28) - 1), 1 << 17
+_M1, _M2, _P, _TOP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -31,22 +35,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """32-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = zlib.crc32(word.encode("utf-8", "replace"))
-        return h
-
-
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def coded(words: list[str], memo: dict) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint32, count=len(words))
+def codes(text: str | None) -> tuple[bytes, np.ndarray]:
+    """md5 of a text's words, and their 32-bit hashes."""
+    whole = " ".join(words_of(text)).encode("utf-8", "replace")
+    return hashlib.md5(whole).digest(), np.array([zlib.crc32(x) for x in whole.split(b" ")] if whole else [], dtype=np.uint32)
 
 
 def kmers(w: np.ndarray, k: int) -> np.ndarray:
@@ -58,57 +54,126 @@ def kmers(w: np.ndarray, k: int) -> np.ndarray:
     return _mix(out)
 
 
-def sketch(w: np.ndarray, k: int, minima: int, sketches: int) -> np.ndarray:
-    """Each sketch takes the k-mers whose labelled hashes are least, and hashes them in text order.
+def _chunks(sizes: np.ndarray):
+    """Runs of texts that hold about CHUNK k-mers together."""
+    lo, total = 0, np.cumsum(sizes)
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK, "right")))
+        yield lo, hi
+        lo = hi
 
-    The label is the k-mer's number of occurrence in the text, so repeats count as often as they
-    come; keeping the order is what makes the sketch follow edit similarity and not the bag.
-    """
-    h = kmers(w, k)
-    order = np.argsort(h, kind="stable")
-    run = np.arange(len(h)) - np.maximum.accumulate(np.where(np.diff(h[order], prepend=~h[order[:1]]) != 0, np.arange(len(h)), 0))
+
+def _labelled(hs: list[np.ndarray]) -> np.ndarray:
+    """Hashes of k-mers with their number of occurrence in the text, so repeats count as often as they come."""
+    h, sizes = np.concatenate(hs), np.array([len(x) for x in hs])
+    starts = np.cumsum(sizes) - sizes
+    order = np.concatenate([np.argsort(x, kind="stable") for x in hs]) + np.repeat(starts, sizes)
+    new = np.append(True, h[order[1:]] != h[order[:-1]])
+    new[starts] = True
+    run = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     label = np.empty(len(h), dtype=np.uint64)
     label[order] = run
-    tagged = _mix(h + (label + np.uint64(1)) * _P)
-    take = min(minima, len(h))
+    return _mix(h + (label + np.uint64(1)) * _P)
+
+
+def _minima(tagged: np.ndarray, sizes: np.ndarray, minima: int, sketches: int) -> np.ndarray:
+    """The places in its text of the least k-mers by each sketch's hash, for each text; -1 where a text has no more.
+
+    A hash and its k-mer's place share a number, so a minimum by text brings its place along.
+    """
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(tagged), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
     seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * _P)
-    out = np.empty(sketches, dtype=np.uint64)
-    step = max(1, 2_000_000 // len(h))
-    for s in range(0, sketches, step):
-        v = _mix(tagged[None, :] ^ seeds[s : s + step, None])
-        at = np.argpartition(v, take - 1, axis=1)[:, :take] if take < len(h) else np.tile(np.arange(len(h)), (len(v), 1))
-        at.sort(axis=1)
-        got = np.zeros(len(v), dtype=np.uint64)
-        for j in range(take):
-            got = _mix(got * _P + h[at[:, j]])
-        out[s : s + step] = _mix(got + seeds[s : s + step])
+    odd = _mix(seeds) | np.uint64(1)
+    out = np.empty((sketches, len(sizes), minima), dtype=np.int64)
+    v, least = np.empty_like(tagged), np.empty(len(sizes), dtype=np.uint64)
+    for s in range(sketches):
+        np.bitwise_xor(tagged, seeds[s], out=v)
+        np.multiply(v, odd[s], out=v)
+        np.bitwise_and(v, ~PLACE, out=v)
+        np.bitwise_or(v, place, out=v)
+        for j in range(minima):
+            np.minimum.reduceat(v, starts, out=least)
+            at = (least & PLACE).astype(np.int64)
+            some = least != _TOP
+            out[s, :, j] = np.where(some, at, -1)
+            if j < minima - 1:
+                v[(starts + at)[some]] = _TOP
     return out
 
 
-def sketches_of(w: np.ndarray, k: int, minima: int, sketches: int, similarity: float) -> np.ndarray:
-    """The sketches of a text. Lengths that can link to a short and to a longer text have both kinds, so that links don't end at SHORT."""
-    out = []
-    if len(w) <= SHORT:
-        out.append(_mix(sketch(w, SHORT_K, SHORT_MINIMA, sketches) + _P))
-    if len(w) > int(SHORT * similarity):
-        out.append(sketch(w, k, minima, sketches))
-    return np.concatenate(out)
+def sketch_all(ws: list[np.ndarray], k: int, minima: int, sketches: int) -> np.ndarray:
+    """A row of sketches for each text: the k-mers whose labelled hashes are least, hashed in text order.
+
+    Keeping the order is what makes a sketch follow edit similarity and not the bag of k-mers.
+    """
+    out = np.empty((len(ws), sketches), dtype=np.uint64)
+    for lo, hi in _chunks(np.array([len(w) for w in ws])):
+        hs = [kmers(w, k) for w in ws[lo:hi]]
+        h, sizes = np.concatenate(hs), np.array([len(x) for x in hs])
+        at = np.sort(_minima(_labelled(hs), sizes, minima, sketches), axis=2)
+        starts = (np.cumsum(sizes) - sizes)[None, :]
+        got = np.zeros(at.shape[:2], dtype=np.uint64)
+        for j in range(minima):
+            got = _mix(got * _P + np.where(at[:, :, j] < 0, np.uint64(0), h[starts + np.maximum(at[:, :, j], 0)]))
+        out[lo:hi] = _mix(got + _mix(np.arange(1, sketches + 1, dtype=np.uint64))[:, None]).T
+    return out
 
 
 def histogram(w: np.ndarray) -> bytes:
     """Counts of the words by hash, 255 at most. An edit moves two counts by one, and a bound on counts only lowers their difference."""
-    return np.minimum(np.bincount(w % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+    bins = next((b for b in BINS if b * WORDS_A_BIN >= len(w)), BINS[-1])
+    return np.minimum(np.bincount(w % bins, minlength=bins), 255).astype(np.uint8).tobytes()
 
 
-def _may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether lengths and histograms allow a link; false only where the edit distance is surely too great."""
-    most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
-    apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-    return apart + np.abs(n - m) <= 2 * most
+def sketches_all(ws: list[np.ndarray], k: int, minima: int, sketches: int, similarity: float) -> list[np.ndarray]:
+    """The sketches of each text. A length from which a link reaches into the next kind has both kinds, so links don't end where a kind does."""
+    out: list[list[np.ndarray]] = [[] for _ in ws]
+    low, salts = 0, _mix(np.arange(len(SHORT) + 1, dtype=np.uint64))
+    for kind, (most, least_of, size) in enumerate([*((m, n, 1) for m, n in SHORT), (None, minima, k)]):
+        own = [i for i, w in enumerate(ws) if len(w) > low and (most is None or len(w) <= most)]
+        if own:
+            for i, row in zip(own, sketch_all([ws[i] for i in own], size, least_of, sketches), strict=True):
+                out[i].append(_mix(row ^ salts[kind]))
+        low = int((most or 0) * similarity)
+    return [np.concatenate(x) for x in out]
 
 
-def _bins(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+def sketches_of(w: np.ndarray, k: int, minima: int, sketches: int, similarity: float) -> np.ndarray:
+    return sketches_all([w], k, minima, sketches, similarity)[0]
+
+
+class _Facts:
+    """Lengths and histograms of texts, and whether they allow a link."""
+
+    def __init__(self, n: np.ndarray, hist: list[bytes]):
+        size = np.array([len(h) for h in hist], dtype=np.int64)
+        self.n, self.kind, self.at, self.of = n.astype(np.int64), size, np.zeros(len(hist), dtype=np.int64), {}
+        for b in np.unique(size).tolist():
+            own = np.flatnonzero(size == b)
+            self.at[own] = np.arange(len(own))
+            self.of[b] = np.frombuffer(b"".join(hist[i] for i in own), dtype=np.uint8).reshape(-1, b)
+
+    def rows(self, i: np.ndarray, kind: int, bins: int) -> np.ndarray:
+        """Histograms of texts of one kind; counts that share a place modulo ``bins`` are added up."""
+        x = self.of[kind][self.at[i]]
+        return x if kind == bins else np.minimum(x.reshape(len(x), kind // bins, bins).sum(axis=1, dtype=np.int32), 255).astype(np.uint8)
+
+    def may_link(self, i: np.ndarray, other: "_Facts", j: np.ndarray, similarity: float) -> np.ndarray:
+        """False only where the edit distance is surely too great."""
+        n, m = self.n[i], other.n[j]
+        most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+        room = 2 * most - np.abs(n - m)
+        out = np.abs(n - m) <= most
+        for x in self.of:
+            for y in other.of:
+                own = np.flatnonzero(out & (self.kind[i] == x) & (other.kind[j] == y))
+                bins, step = min(x, y), max(1, (8 << 20) // max(x, y))
+                for lo in range(0, len(own), step):
+                    k = own[lo : lo + step]
+                    a, b = self.rows(i[k], x, bins), other.rows(j[k], y, bins)
+                    out[k] = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32) <= room[k]
+        return out
 
 
 def _gap(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -160,27 +225,44 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return found if found <= most else _whole(a, b, most)
 
 
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without the words that they begin and end with alike."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    a, b, n = a[head:], b[head:], n - head
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(differ[0]) if len(differ) else n
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
 def _whole(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance; above ``most``: most + 1. A column of the table is two integers with a bit for each row, that rises or falls there."""
+    a, b = _trimmed(a, b)
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
     if not n or not m:
         return max(n, m)
-    at: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        at[x] = at.get(x, 0) | 1 << i
-    every, top = (1 << n) - 1, n - 1
-    up, down, score = every, 0, n
-    for j, y in enumerate(b.tolist()):
-        same = at.get(y, 0)
+    _, words = np.unique(np.concatenate([a, b]), return_inverse=True)
+    rows = [0] * (int(words.max()) + 1)
+    for i, x in enumerate(words[:n].tolist()):
+        rows[x] |= 1 << i
+    every, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, room = every, 0, n, m + most
+    for x in words[n:].tolist():
+        same = rows[x]
         diagonal = (((same & up) + up) ^ up) | same | down
         more, less = down | (every & ~(diagonal | up)), diagonal & up
-        score += (more >> top & 1) - (less >> top & 1)
-        if score - (m - 1 - j) > most:
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+        room -= 1
+        if score > room:
             return most + 1
-        more, less = more << 1 | 1, less << 1
-        up, down = every & (less | ~(diagonal | more)), more & diagonal & every
+        more = more << 1 | 1
+        up, down = every & (less << 1 | ~(diagonal | more)), more & diagonal & every
     return score
 
 
@@ -192,13 +274,7 @@ def _chained(a: np.ndarray, b: np.ndarray, most: int, k: int = CHAIN) -> int:
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    head = int(differ[0]) if len(differ) else n
-    a, b, n = a[head:], b[head:], n - head
-    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
-    tail = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    a, b = _trimmed(a, b)
     total = i0 = j0 = 0
     if min(len(a), len(b)) > 2 * k:
         ua, ia, ca = np.unique(kmers(a, k), return_index=True, return_counts=True)
@@ -253,8 +329,8 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
                 keep.append(edit_distance(x, y, most) <= most)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    right = words.select(F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    left = words.select(F.col("doc_id").alias("a"), F.col("w").alias("wa"))
+    right = words.select(F.col("tid").alias("b"), F.col("w").alias("wb"))
+    left = words.select(F.col("tid").alias("a"), F.col("w").alias("wa"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
@@ -263,44 +339,60 @@ def _allowed(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            yield batch.select(["a", "b"]).filter(pa.array(_may_link(n, m, _bins(batch.column("ha")), _bins(batch.column("hb")), similarity), pa.bool_()))
+            if batch.num_rows:
+                x, y = (_Facts(batch.column(n).to_numpy(), batch.column(h).to_pylist()) for n, h in (("na", "ha"), ("nb", "hb")))
+                k = np.arange(batch.num_rows)
+                yield batch.select(["a", "b"]).filter(pa.array(x.may_link(k, y, k, similarity), pa.bool_()))
 
-    left = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha"))
-    right = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb"))
+    left = facts.select(F.col("tid").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha"))
+    right = facts.select(F.col("tid").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _met(members: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """Every pair (a, b) of members (bucket, rep, c) that share a bucket, differ in class c and may link.
+def _windows(n: np.ndarray, m: np.ndarray, similarity: float, rising: bool):
+    """Arrays (i, j) of the places of lengths n and sorted lengths m that may link; ``rising``: both are one list, and i < j."""
+    first = np.arange(len(n)) + 1 if rising else np.searchsorted(m, np.ceil(n * similarity - 1e-9), "left")
+    width = np.maximum(np.searchsorted(m, np.floor(n / similarity + 1e-9), "right") - first, 0)
+    done, lo = np.append(0, np.cumsum(width)), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + AT_ONCE, "right")) - 1)
+        w = width[lo:hi]
+        i = np.repeat(np.arange(lo, hi), w)
+        yield i, first[i] + np.arange(len(i)) - np.repeat(done[lo:hi] - done[lo], w)
+        lo = hi
+
 
-    A bucket is dealt to blocks of about BLOCK members, and each two blocks of it meet in one group of
-    rows; pairs are made in arrays of bounded length inside a group and leave it only if they may link.
+def _pairs_of(t: pa.Table, similarity: float):
+    """Pairs that may link, of rows (g, role, c, tid, n, hist) of whole groups g.
+
+    Role 0 and 1 rows meet the other side only; role 2 rows meet each other and sides don't matter.
     """
+    g, role, c, tid, n = (t.column(x).to_numpy().astype(np.int64) for x in ("g", "role", "c", "tid", "n"))
+    facts, order = _Facts(n, t.column("hist").to_pylist()), np.lexsort((n, g))
+    g = g[order]
+    group = np.cumsum(np.append(False, g[1:] != g[:-1])).astype(np.int64)
+    for k in range(int(group[-1]) + 1) if len(g) else ():
+        rows = order[slice(*np.searchsorted(group, [k, k + 1]))]
+        sides = [(rows, rows)] if role[rows[0]] == 2 else [(rows[role[rows] == 0], rows[role[rows] == 1])]
+        for x, y in sides:
+            for i, j in _windows(n[x], n[y], similarity, x is y):
+                i, j = x[i], y[j]
+                ok = c[i] != c[j]
+                i, j = i[ok], j[ok]
+                ok = facts.may_link(i, facts, j, similarity)
+                a, b = tid[i[ok]], tid[j[ok]]
+                if len(a):
+                    yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+
 
-    def pairs_of(t: pa.Table):
-        g, n, c, rep, side = (t.column(x).to_numpy() for x in ("g", "n", "c", "rep", "side"))
-        h = _bins(t.column("hist"))
-        order = np.lexsort((n, g))
-        g, n, c, rep, side, h = g[order], n[order], c[order], rep[order], side[order], h[order]
-        group = np.cumsum(np.append(False, g[1:] != g[:-1])).astype(np.int64)
-        wide = np.int64(1) << 32
-        last = np.searchsorted(group * wide + n, group * wide + (n / similarity + 1).astype(np.int64), "right")
-        width = last - np.arange(len(n)) - 1
-        done = np.append(0, np.cumsum(width))
-        lo = 0
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + AT_ONCE, "right")) - 1)
-            w = width[lo:hi]
-            i = np.repeat(np.arange(lo, hi), w)
-            j = i + 1 + np.arange(len(i)) - np.repeat(done[lo:hi] - done[lo], w)
-            ok = (c[i] != c[j]) & ((side[i] < 0) | (side[i] != side[j]))
-            i, j = i[ok], j[ok]
-            ok = _may_link(n[i], n[j], h[i], h[j], similarity)
-            x, y = rep[i[ok]], rep[j[ok]]
-            if len(x):
-                yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            lo = hi
+def _met(members: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of members (bucket, tid, c) that share a bucket, differ in class c and may link.
+
+    The members of a bucket's largest class are dealt to blocks of about BLOCK and don't meet each
+    other; the others go to every such block, and meet each other by pairs of blocks. So a class
+    however large, with a few strangers in its bucket, is copied not at all. Pairs are made in
+    arrays of bounded length inside a group of rows and leave it only if they may link.
+    """
 
     def run(batches):
         held = None
@@ -309,96 +401,139 @@ def _met(members: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
             if held.num_rows >= 2 * BLOCK:
                 g = held.column("g").to_numpy()
                 cut = int(np.searchsorted(g, g[-1]))
-                for got in pairs_of(held.slice(0, cut)) if cut else ():
+                for got in _pairs_of(held.slice(0, cut), similarity) if cut else ():
                     yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
                 held = held.slice(cut)
-        for got in pairs_of(held) if held is not None and held.num_rows else ():
+        for got in _pairs_of(held, similarity) if held is not None and held.num_rows else ():
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    size = members.groupBy("bucket").agg(F.min("c").alias("_min"), F.max("c").alias("_max"), F.count(F.lit(1)).alias("_n")).where("_min < _max")
-    size = save(size.select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = members.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    rows = rows.select("bucket", "rep", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    g = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") < F.col("other")).cast("int"))
-    # members of a block meet each other in the block's own group only
-    rows = save(rows.select("rep", g.alias("g"), side.alias("side"), "c"), "blocks")
-    rows = rows.join(facts, "rep").select("g", "side", "rep", "c", "n", "hist").repartition("g").sortWithinPartitions("g")
+    sizes = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
+    size = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where("classes > 1")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    size = save(size.select("bucket", F.col("top.c").alias("main"), blocks(F.col("top.k")).alias("mains"), blocks(F.col("all") - F.col("top.k")).alias("others")), "mixed")
+    rows = members.join(size, "bucket")
+    number = lambda n, salt: F.pmod(F.xxhash64("tid", F.lit(salt)), n).cast("int")
+    role = lambda r, *where: F.struct(F.lit(r).alias("role"), F.xxhash64("bucket", *where).alias("g"))
+    own = F.col("own")
+    # the largest class: one block, in which the others come to it
+    main = rows.where("c = main").select("tid", "c", role(0, F.lit("m"), number(F.col("mains"), 1)).alias("r"))
+    other = rows.where("c <> main").withColumn("own", number(F.col("others"), 2))
+    come = other.select("tid", "c", F.explode(F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: role(1, F.lit("m"), b))).alias("r"))
+    meet = F.transform(
+        F.sequence(F.lit(0), F.col("others") - 1),
+        lambda b: F.struct(
+            F.when(own == b, 2).otherwise((own < b).cast("int")).alias("role"), F.xxhash64("bucket", F.lit("o"), F.least(own, b), F.greatest(own, b)).alias("g")
+        ),
+    )
+    among = other.select("tid", "c", F.explode(meet).alias("r"))
+    rows = save(main.unionByName(come).unionByName(among).select("tid", "c", "r.role", "r.g"), "blocks")
+    rows = rows.join(facts, "tid").select("g", "role", "c", "tid", "n", "hist").repartition("g").sortWithinPartitions("g")
     return rows.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, k: int = K, minima: int = MINIMA, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, kept of every document: class_id is the smallest doc_id that links reach.
+def row_key(text: Column) -> Column:
+    """What tells rows with one doc_id apart."""
+    return F.coalesce(F.xxhash64(text.cast("string")), F.lit(0))
 
-    Texts are lower-cased words. Equal ones are one class before anything else, so a text that a
-    third of all rows repeat costs one row. Other texts are candidates when one of their sketches
-    agrees (of two 2-word k-mers, in texts of up to SHORT words of three words), and link when an alignment of their words has at most (1 - similarity) edits for each
-    word of the longer. The members of a bucket of equal sketches meet its smallest member first.
-    Where a bucket then holds more than one class, all its pairs of different classes meet, in
-    blocks. A pair is dropped without alignment only if its lengths or counts of words rule a link
-    out. No bucket, partner or candidate is capped.
 
-    Empty and null texts are never near anything: each is its own class, and kept. Rows that
-    repeat a doc_id share its class; a null doc_id has a null class and is kept.
-    """
+def _classes(documents: DataFrame, k: int, minima: int, sketches: int, similarity: float) -> DataFrame:
+    """doc_id, row, class_id, kept of each row whose doc_id is not null; rows of a doc_id are told apart by ``row_key``."""
     bound_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.where("doc_id is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("sk", pa.list_(pa.int64())), ("n", pa.int32()), ("hist", pa.binary())])
+    docs = docs.where("doc_id is not null").select("doc_id", row_key(F.col("text")).alias("row"), "text")
+    cells = [("tid", "long"), ("sk", "array<long>"), ("n", "int"), ("hist", "binary"), ("w", "array<int>")]
+    arrow = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), *((c, arrow[t]) for c, t in cells)])
 
     def sketched(batches):
-        memo = _Words()
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                w = words_of(text)
-                if not w:
-                    rows.append((None, None, None, None))
-                    continue
-                c = coded(w, memo)
-                rows.append((hashlib.md5(" ".join(w).encode("utf-8", "replace")).digest(), sketches_of(c, k, minima, sketches, similarity).view(np.int64), len(w), histogram(c)))
-            got = [pa.array([r[x] for r in rows], schema.field(x + 1).type) for x in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *got], schema=schema)
-
-    sk = save(docs.mapInArrow(sketched, "doc_id long, key binary, sk array<long>, n int, hist binary"), "sketches")
-    some = sk.where("key is not null")
-    reps = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sk", "n", "hist"), "doc_id").alias("m"))
-    reps = save(reps.select("key", "rep", "m.sk", "m.n", "m.hist"), "reps")
-    facts = reps.select("rep", "n", "hist")
-    bands = reps.select("rep", F.explode("sk").alias("bucket"))
+            rows = [codes(t) for t in batch.column(2).to_pylist()]
+            some = [i for i, (_, w) in enumerate(rows) if len(w)]
+            ws, columns = [rows[i][1] for i in some], [[None] * len(rows) for _ in cells]
+            for i, w, s in zip(some, ws, sketches_all(ws, k, minima, sketches, similarity), strict=True):
+                row = (int.from_bytes(rows[i][0][:8], "little", signed=True), s.view(np.int64), len(w), histogram(w), w.view(np.int32))
+                for column, x in zip(columns, row, strict=True):
+                    column[i] = x
+            got = [pa.array(x, arrow[t]) for x, (_, t) in zip(columns, cells, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *got], schema=schema)
+
+    sk = save(docs.mapInArrow(sketched, "doc_id long, row long, " + ", ".join(f"{c} {t}" for c, t in cells)), "sketches")
+    some = sk.where("tid is not null")
+    reps = some.groupBy("tid").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.any_value(F.struct("sk", "n", "hist")).alias("m"))
+    reps = save(reps.select("tid", "first", "m.sk", "m.n", "m.hist"), "reps")
+    facts = reps.select("tid", "n", "hist")
+    bands = reps.select("tid", F.explode("sk").alias("bucket"))
     # a bucket's rows: only those of two members or more go on
-    leads = save(bands.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("_max")).where("lead < _max").select("bucket", "lead"), "leads")
+    leads = save(bands.groupBy("bucket").agg(F.min("tid").alias("lead"), F.max("tid").alias("_max")).where("lead < _max").select("bucket", "lead"), "leads")
     members = save(bands.join(leads, "bucket"), "members")
     forget(leads)
-    pairs = save(members.where("rep <> lead").groupBy(F.col("lead").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b"), "pairs")
+    pairs = members.where("tid <> lead").groupBy(F.col("lead").alias("a"), F.col("tid").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b")
+    pairs = save(_allowed(pairs, facts, similarity), "pairs")
 
-    def word_codes(batches):
-        memo = _Words()
-        for batch in batches:
-            w = [coded(words_of(t), memo).view(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.list_(pa.int32()))], names=["doc_id", "w"])
+    def words_for(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("k"))
+        rows = save(reps.join(ends, "tid", "left_semi").select("tid", "first.doc_id", "first.row"), "needed")
+        found = some.select("doc_id", "row", "tid", "w").join(rows, ["doc_id", "row", "tid"], "left_semi")
+        return save(found.groupBy("tid").agg(F.any_value("w").alias("w")), "words")
 
-    needed = members.groupBy(F.col("rep").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).select("doc_id")
-    words = save(docs.join(needed, "doc_id", "left_semi").mapInArrow(word_codes, "doc_id long, w array<int>").dropDuplicates(["doc_id"]), "words")
-    links = save(_verified(save(_allowed(pairs, facts, similarity), "near"), words, similarity), "links")
+    links = save(_verified(pairs, words_for(pairs), similarity), "links")
     comp = save(connected_components(links), "components")
     # members of buckets that hold more than one class meet each other
-    named = save(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "named")
+    named = save(members.join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("bucket", "tid", F.coalesce("component", "tid").alias("c")), "named")
     forget(members)
     again = save(_met(named, facts, similarity).join(pairs, ["a", "b"], "left_anti"), "again")
-    more = save(_verified(again, words, similarity), "links")
-    if not more.isEmpty():
-        comp = save(connected_components(comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
-    named = reps.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"))
+    forget(named)
+    if not again.isEmpty():
+        more = save(_verified(again, words_for(again), similarity), "links")
+        known = comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        comp = save(connected_components(known.unionByName(more)), "components")
+    named = reps.select("tid", "first").join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "first", F.coalesce("component", "tid").alias("c"))
     named = save(named, "classes")
-    out = sk.where("key is not null").select("doc_id", "key").join(named, "key").select("doc_id", "class_id")
-    alone = sk.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    none = documents.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
-    return out.unionByName(alone).unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    stays = named.groupBy("c").agg(F.min("first").alias("stays"))
+    named = save(named.join(stays, "c").select("tid", "stays"), "stays")
+    out = some.select("doc_id", "row", "tid").join(named, "tid")
+    out = out.select("doc_id", "row", F.col("stays.doc_id").alias("class_id"), (F.struct("doc_id", "row") == F.col("stays")).alias("kept"))
+    return out.unionByName(sk.where("tid is null").select("doc_id", "row", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
 
 
-def dedup_documents(documents: DataFrame) -> DataFrame:
-    """The documents of which one of each class stays, with their columns; rows that repeat a doc_id become one."""
-    gone = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = documents.join(save(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+def near_duplicates(documents: DataFrame, k: int = K, minima: int = MINIMA, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, kept of every row: class_id is the smallest doc_id that links reach.
+
+    Texts are lower-cased words. Equal ones are one class before anything else, so a text that a
+    third of all rows repeat costs one row. Other texts are candidates when one of their sketches
+    agrees, and link when an alignment of their words has at most (1 - similarity) edits for each word of the longer. The members of a bucket
+    of equal sketches meet its smallest member first. Where a bucket then holds more than one class,
+    all its pairs of different classes meet, in blocks. No bucket, partner or candidate is capped.
+
+    Empty and null texts are never near anything: each is its own class, and kept. Rows that
+    repeat a doc_id with another text are judged each by its own text; of texts that a class holds
+    under its smallest doc_id one is kept. Rows equal in both share all. A null doc_id has a null
+    class and is kept. Other columns are not looked at. An empty table gives no rows. Texts are told
+    apart by 64 bits of their md5.
+    """
+    out = _classes(documents, k, minima, sketches, similarity).select("doc_id", "class_id", "kept")
+    none = documents.where("doc_id is null")
+    return out.unionByName(none.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
+
+
+def dedup_documents(documents: DataFrame, k: int = K, minima: int = MINIMA, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents of which one row of each class stays, with their columns, whatever their names.
+
+    A row goes only if its own text's class has another row, so a text that nothing else holds stays,
+    also where another row repeats its doc_id. Rows equal in doc_id and text become one. Rows with an
+    empty or null text, or without a doc_id, stay.
+    """
+    rows = save(_classes(documents, k, minima, sketches, similarity), "judged")
+    plan = rows.groupBy("doc_id", "row").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("k")).where("not kept or k > 1")
+    plan = save(plan, "plan")
+    text = F.col("text").cast("string")
+    docs = documents.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), row_key(text).alias("row"), F.length(text).alias("n"))
+    left = docs.join(plan.where("not kept").select("doc_id", "row"), ["doc_id", "row"], "left_anti")
+    twice = plan.where("kept").select("doc_id", "row")
+    if not twice.isEmpty():
+        # empty texts have no words to repeat, and are rows of their own
+        left = left.join(twice.withColumn("again", F.lit(True)), ["doc_id", "row"], "left")
+        repeats = F.coalesce(F.col("again") & (F.col("n") > 0), F.lit(False))
+        one = left.where(repeats).groupBy("doc_id", "row").agg(F.any_value("whole").alias("whole"))
+        left = left.where(~repeats).select("whole").unionByName(one.select("whole"))
+    return left.select("whole.*")
