@@ -467,26 +467,44 @@ def _classes(documents: DataFrame, k: int, minima: int, sketches: int, similarit
     leads = save(bands.groupBy("bucket").agg(F.min("tid").alias("lead"), F.max("tid").alias("_max")).where("lead < _max").select("bucket", "lead"), "leads")
     members = save(bands.join(leads, "bucket"), "members")
     forget(leads)
-    pairs = members.where("tid <> lead").groupBy(F.col("lead").alias("a"), F.col("tid").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b")
-    pairs = save(_allowed(pairs, facts, similarity), "pairs")
 
-    def words_for(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, many: bool = False) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("k"))
         rows = save(reps.join(ends, "tid", "left_semi").select("tid", "first.doc_id", "first.row"), "needed")
-        found = some.select("doc_id", "row", "tid", "w").join(rows, ["doc_id", "row", "tid"], "left_semi")
-        return save(found.groupBy("tid").agg(F.any_value("w").alias("w")), "words")
+        # the rows of the first pairs grow with the table, so words move to them by a sorted join at every size; later ones are few
+        found = some.select("doc_id", "row", "tid", "w").join(rows.hint("merge") if many else rows, ["doc_id", "row", "tid"], "left_semi")
+        words = save(found.groupBy("tid").agg(F.any_value("w").alias("w")), "words")
+        out = save(_verified(pairs, words, similarity), "links")
+        forget(words)
+        return out
+
+    def with_classes(comp: DataFrame) -> DataFrame:
+        known = members.select("bucket", "tid").join(comp.withColumnRenamed("node", "tid"), "tid", "left")
+        return save(known.select("bucket", "tid", F.coalesce("component", "tid").alias("c")), "named")
 
-    links = save(_verified(pairs, words_for(pairs), similarity), "links")
-    comp = save(connected_components(links), "components")
-    # members of buckets that hold more than one class meet each other
-    named = save(members.join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("bucket", "tid", F.coalesce("component", "tid").alias("c")), "named")
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        known = comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        return save(connected_components(known.unionByName(links)), "components")
+
+    # a member meets the smallest text of all its buckets
+    first = members.groupBy(F.col("tid").alias("b")).agg(F.min("lead").alias("a")).where("a < b").select("a", "b")
+    met = save(_allowed(first, facts, similarity), "pairs")
+    comp = save(connected_components(linked(met, many=True)), "components")
+    # where a bucket's smallest text is of another class, one of the class meets it
+    named = with_classes(comp)
+    top = named.groupBy("bucket").agg(F.min(F.struct("tid", "c")).alias("top"), F.count_distinct("c").alias("k")).where("k > 1").select("bucket", "top")
+    other = named.join(save(top, "tops"), "bucket").where("c <> top.c").groupBy(F.col("top.tid").alias("a"), "c").agg(F.min("tid").alias("b")).select("a", "b")
+    more = save(_allowed(other, facts, similarity).join(met, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        comp, met = joined(comp, linked(more)), met.unionByName(more)
+        forget(named)
+        named = with_classes(comp)
     forget(members)
-    again = save(_met(named, facts, similarity).join(pairs, ["a", "b"], "left_anti"), "again")
+    # members of buckets that still hold more than one class meet each other
+    again = save(_met(named, facts, similarity).join(met, ["a", "b"], "left_anti"), "again")
     forget(named)
     if not again.isEmpty():
-        more = save(_verified(again, words_for(again), similarity), "links")
-        known = comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        comp = save(connected_components(known.unionByName(more)), "components")
+        comp = joined(comp, linked(again))
     named = reps.select("tid", "first").join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "first", F.coalesce("component", "tid").alias("c"))
     named = save(named, "classes")
     stays = named.groupBy("c").agg(F.min("first").alias("stays"))
@@ -501,9 +519,10 @@ def near_duplicates(documents: DataFrame, k: int = K, minima: int = MINIMA, sket
 
     Texts are lower-cased words. Equal ones are one class before anything else, so a text that a
     third of all rows repeat costs one row. Other texts are candidates when one of their sketches
-    agrees, and link when an alignment of their words has at most (1 - similarity) edits for each word of the longer. The members of a bucket
-    of equal sketches meet its smallest member first. Where a bucket then holds more than one class,
-    all its pairs of different classes meet, in blocks. No bucket, partner or candidate is capped.
+    agrees, and link when an alignment of their words has at most (1 - similarity) edits for each word of the longer. A member of buckets of
+    equal sketches meets the smallest text of them all first, and then, for its class, that of each
+    bucket. Where a bucket then holds more than one class, all its pairs of different classes meet,
+    in blocks. No bucket, partner or candidate is capped.
 
     Empty and null texts are never near anything: each is its own class, and kept. Rows that
     repeat a doc_id with another text are judged each by its own text; of texts that a class holds
