@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varspan.llm.common import save
+from varspan.llm.common import bound_batches, save
 from varspan.llm.vectors import FIT_ROWS, matrix, sample_rows, spherical_kmeans, unit, usable
 
 #: Candidates of a task, about; larger lists are dealt over several tasks.
 CHUNK = 4096
-#: Queries of a task, at most about.
-ASKED = 4096
+#: Queries of a task, at most about, and those whose first block is scanned at once.
+ASKED, AT_ONCE = 4096, 256
 #: Columns of a block of the rotated vectors.
 STEP = 16
 #: Standard deviations that a candidate's estimated distance may lie above the bound's before it is given up.
@@ -77,10 +77,11 @@ def _scan(dim: int, top: int):
         seen = lambda m: [(m[:, :e] ** 2).sum(axis=1) for e in edges[1:]]
         x_seen, q_seen = seen(xr), seen(qr)
         xx, qq = x_seen[-1], q_seen[-1]
-        first = qr[:, : edges[1]] @ xr[:, : edges[1]].T
         out = []
         for k, qid in enumerate(qids):
-            alive, part, bound = np.arange(len(x)), first[k], bounds[k]
+            if k % AT_ONCE == 0:
+                first = qr[k : k + AT_ONCE, : edges[1]] @ xr[:, : edges[1]].T
+            alive, part, bound = np.arange(len(x)), first[k % AT_ONCE], bounds[k]
             for s in range(1, len(edges)):
                 if s > 1:
                     part = part + xr[alive, edges[s - 1] : edges[s]] @ qr[k, edges[s - 1] : edges[s]]
@@ -124,8 +125,10 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
     query's own. The lists are fitted on about FIT_ROWS rows, and their number to probe is the
     least that holds AIM of the true neighbours there; all rows are indexed. Ties go to the
     smaller vec_id; rows that repeat a vec_id count once. Vectors that are null, empty, zero or
-    not finite take no part, nor do vectors of a length other than the commonest.
+    not finite take no part, nor do vectors of a length other than the commonest, or rows whose vec_id
+    is null. Other columns are not looked at, and an empty table gives no rows.
     """
+    bound_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
@@ -144,19 +147,21 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
     sizes = np.zeros(len(centres), dtype=np.int64)
     for r in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a list
         sizes[r["list"]] = r["n"]
-    chunks = np.maximum(1, -(-sizes // CHUNK))
-    chunk_of = F.array(*[F.lit(int(c)) for c in chunks])
     asked = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).dropDuplicates(["vec_id"])
     asked = asked.mapInPandas(
         _probe(centres, sizes, probes, sample_ids, sample, top),
         "query_id long, q array<double>, lists array<int>, bound double, ids array<long>, scores array<double>",
     )
     asked = save(asked, "asked")
-    parts = max(1, math.ceil(asked.count() / ASKED))
-    ask = asked.select("query_id", "q", "bound", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode("lists").alias("list"))
-    ask = ask.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(chunk_of, F.col("list") + 1) - 1)))
-    held = lists.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.element_at(chunk_of, F.col("list") + 1)).cast("int"))
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # a row a list: FIT_ROWS at most. A list's rows are dealt to chunks, its queries to parts, and each chunk is copied once for each part
+    ask = asked.select("query_id", "q", "bound", F.explode("lists").alias("list"))
+    plan = ask.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / ASKED)).cast("int").alias("parts"))
+    of_list = embeddings.sparkSession.createDataFrame([(i, int(max(1, -(-n // CHUNK)))) for i, n in enumerate(sizes.tolist())], "list int, chunks int")
+    plan = F.broadcast(save(plan.join(of_list, "list"), "plan"))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = ask.join(plan, "list").withColumn("part", deal("query_id", "parts")).withColumn("chunk", each("chunks")).drop("parts", "chunks")
+    held = lists.join(plan, "list").withColumn("chunk", deal("vec_id", "chunks")).withColumn("part", each("parts")).drop("parts", "chunks")
     found = ask.groupBy("list", "chunk", "part").cogroup(held.groupBy("list", "chunk", "part")).applyInPandas(_scan(dim, top), "query_id long, vec_id long, score double")
     seen = asked.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("z")).select("query_id", F.col("z.ids").alias("vec_id"), F.col("z.scores").alias("score"))
     both = found.unionByName(seen).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varspan.llm.common import save
+from varspan.llm.common import bound_batches, save
 from varspan.llm.components import connected_components
 from varspan.llm.vectors import FIT_ROWS, matrix, sample_rows, spherical_kmeans, unit, usable
 
-#: Rows of a block of a cell, about. A task holds two blocks.
-BLOCK = 1024
+#: Rows of a block of a cell, about, and those of them that are compared with the other block at once. A task holds two blocks.
+BLOCK, SLICE = 2048, 512
+#: Vectors of the largest label for each cell, at least: fewer cells, and most vectors lie near fewer borders.
+CELL = 4 * BLOCK
 
 
 def _dealt(centres: np.ndarray, cosine: float):
@@ -54,12 +56,16 @@ def _blocks(cosine: float):
         home, block = pdf["home"].to_numpy(), pdf["block"].to_numpy()
         copies, rep = pdf["copies"].to_numpy(), pdf["rep"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        linked = x[left] @ x[right].T >= cosine
-        linked &= home[left][:, None] | home[right][None, :]
-        if i == j:
-            linked = np.triu(linked, 1)
-        a, b = np.nonzero(linked)
-        a, b = left[a], right[b]
+        some = []
+        for lo in range(0, len(left), SLICE):
+            rows = left[lo : lo + SLICE]
+            linked = x[rows] @ x[right].T >= cosine
+            linked &= home[rows][:, None] | home[right][None, :]
+            if i == j:
+                linked &= np.arange(lo, lo + len(rows))[:, None] < np.arange(len(right))[None, :]
+            a, b = np.nonzero(linked)
+            some.append((rows[a].astype(np.int32), right[b].astype(np.int32)))
+        a, b = (np.concatenate(c) for c in zip(*some, strict=True)) if some else (np.zeros(0, np.int32),) * 2
         links = np.zeros(len(x), dtype=np.int64)
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
@@ -83,19 +89,23 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
     (in double precision). Equal vectors are compared once, with their number, so a vector that
     holds a third of all rows costs one row. A vector that is null, zero, empty or not finite, or
     whose label is null, links with nothing and is kept. Vectors of different lengths never link.
-    Rows that repeat a vec_id count as vectors of their own.
+    Rows that repeat a vec_id count as vectors of their own; a null vec_id stays null and is kept.
+    Other columns are not looked at, and an empty table gives no rows.
     """
+    bound_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<float>").alias("v"))
     rows = rows.withColumn("ok", usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     key = F.md5(F.col("v").cast("string"))
     valid = rows.where("ok").select("vec_id", "label", "v", F.size("v").alias("dim"), key.alias("key"))
     each = save(valid.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vectors")
-    dims = [(r["dim"], r["n"]) for r in each.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()]
+    # a row for each length of vectors
+    labels = each.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("k"))
+    dims = [(r["dim"], r["n"], r["most"]) for r in labels.groupBy("dim").agg(F.sum("k").alias("n"), F.max("k").alias("most")).collect()]
     found = None
-    for dim, n in dims:
+    for dim, n, most in dims:
         own = each.where(F.col("dim") == dim)
         fit = unit(matrix(sample_rows(own, "rep", n, FIT_ROWS).select("v").toPandas()["v"]))
-        centres = spherical_kmeans(fit, int(math.sqrt(n) / 3) if n > BLOCK else 1) if len(fit) else np.eye(1, dim)
+        centres = spherical_kmeans(fit, max(1, min(int(math.sqrt(most) / 3), most // CELL))) if len(fit) else np.eye(1, dim)
         cells = own.mapInPandas(_dealt(centres, cosine), f"label {each.schema['label'].dataType.simpleString()}, dim int, rep long, copies long, v array<float>, cell int, home boolean")
         cells = save(cells, "cells")
         sizes = save(cells.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")

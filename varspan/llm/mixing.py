@@ -23,7 +23,7 @@ def _hash(doc_id: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """source, source_size, target. ``sizes`` has source and total, a row for each source.
+    """source, source_size, target. ``sizes`` has source and total, a row for each source; they meet in one task, so sources must be few against rows.
 
     Sources by code point, null last, get the weights in turn. Targets share the sum of all sizes
     by weight; one above ``most`` times its source's size stops there and the rest is shared again
@@ -120,17 +120,20 @@ def mix_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), mo
     """The documents that the mix takes, as often as it takes them, with their columns.
 
     The threshold is a function of the hash of doc_id and of the source, so texts are filtered in
-    place: only the plan, a row for each source, is joined to them.
+    place: only the plan, a row for each source, is joined to them. Empty and null texts have size 0
+    and go with their hash; rows that repeat a doc_id go together; a null source is a source of its
+    own; an empty table gives no rows. Other columns may have any names.
     """
     docs = documents.select("doc_id", F.col("source").cast("string").alias("source"), text_size(F.col("text")).alias("size"))
     sized = save(docs.select("source", "size", _hash(F.col("doc_id")).alias("h"), _key().alias("k")), "sized")
     targets = save(source_targets(sized.groupBy("source").agg(F.sum("size").alias("total")), weights, most), "targets")
     cut = _thresholds(sized, targets)
-    h, k = _hash(F.col("doc_id")), F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
-    kept = documents.withColumns({"_h": h, "_k": k}).join(cut.withColumnRenamed("k", "_k"), "_k")
-    copies = F.least(F.col("whole") + (F.col("_h") < F.col("below")).cast("long"), F.lit(int(most)).cast("long"))
-    kept = kept.withColumn("_n", copies).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
-    return kept.select(*[F.col(f"`{c}`") for c in documents.columns])
+    name = F.col("source").cast("string")
+    key = F.struct(name.isNull().alias("none"), F.coalesce(name, F.lit("")).alias("name"))
+    rows = documents.select(F.struct("*").alias("whole"), _hash(F.col("doc_id")).alias("h"), key.alias("k")).join(cut.select("k", F.col("whole").alias("takes"), "below"), "k")
+    copies = F.least(F.col("takes") + (F.col("h") < F.col("below")).cast("long"), F.lit(int(most)).cast("long"))
+    kept = rows.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return kept.select("whole.*")
 
 
 #: The same mix in SQL, by one sorted running sum over (source, hash).

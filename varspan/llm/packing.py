@@ -31,6 +31,21 @@ def encoder(path: str, pattern: str):
     return _encoders[path]
 
 
+def token_ids(text: str | None, path: str, pattern: str, exact: str | None) -> np.ndarray:
+    """A text's ids and END. The pattern's engine gives up on a run of about a million blanks; such a text goes to the slower library, whose file is ``exact``."""
+    try:
+        own = np.frombuffer(encoder(path, pattern).encode_to_numpy(text or "", allowed_special="all"), dtype=np.uint32)
+    except ValueError:
+        if exact is None:
+            raise
+        if exact not in _encoders:
+            from tokenizers import Tokenizer
+
+            _encoders[exact] = Tokenizer.from_file(exact)
+        own = np.array(_encoders[exact].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    return np.append(own, np.uint32(END)).astype("<u4")
+
+
 def balance(lengths: np.ndarray, size: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of pieces of at most ``size``, each token in one.
 
@@ -61,20 +76,22 @@ def balance(lengths: np.ndarray, size: int = LENGTH) -> list[tuple[int, int, int
     return out
 
 
-def pack(documents: DataFrame, path: str, pattern: str, size: int = LENGTH) -> DataFrame:
+def pack(documents: DataFrame, path: str, pattern: str, exact: str | None = None, size: int = LENGTH) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded of every piece.
 
     A document's ids are its text's and then END, so a null or empty text has one token. Tasks
     tokenise and pack their own rows, about ROOM tokens at a time: nothing is shuffled, and what
     is held is bounded by ROOM and the longest document. A sequence's id has its partition and
     number in it; its tokens are padded to ``size`` unless they are a power of two already. Rows
-    that repeat a doc_id are documents of their own.
+    that repeat a doc_id are documents of their own; a null doc_id stays null. Other columns are not
+    looked at, and an empty table gives no rows. ``path`` is the ranks file of the vocabulary and
+    ``exact`` its JSON file, for texts that the first can't cut.
     """
     bound_batches(documents.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded"]
 
     def run(batches):
-        enc, first = encoder(path, pattern), TaskContext.get().partitionId() << 36
+        first = TaskContext.get().partitionId() << 36
         ids: list[int | None] = []
         tokens: list[np.ndarray] = []
         held = 0
@@ -94,8 +111,7 @@ def pack(documents: DataFrame, path: str, pattern: str, size: int = LENGTH) -> D
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(enc.encode_to_numpy(text or "", allowed_special="all"), dtype=np.uint32)
-                own = np.append(own, np.uint32(END)).astype("<u4")
+                own = token_ids(text, path, pattern, exact)
                 ids.append(doc_id)
                 tokens.append(own)
                 held += len(own)

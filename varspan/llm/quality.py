@@ -6,12 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varspan.llm.common import bound_batches, held_out, save
+from varspan.llm.common import bound_batches, held_out, save, unused
 
-FEATURES, SEED, RIDGE, BINS = 256, 17, 1e-2, 512
+#: Random features, their seed, the ridge, bins of raw scores for the calibration, and the folds of 5 that only calibrate.
+FEATURES, SEED, RIDGE, BINS, CALIBRATE = 256, 17, 1e-2, 512, (4,)
+#: Groups that the tasks' parts of the normal equations are summed in first.
+PARTS = 64
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -80,15 +84,28 @@ def document_statistics(documents: DataFrame) -> DataFrame:
     return save(documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("double").alias(k) for k, c in stats.items()]), "stats")
 
 
+def labelled_statistics(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The statistics of documents that have a label to learn from; those of the others aren't needed for fitting."""
+    known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return document_statistics(docs.join(known, "doc_id", "left_semi"))
+
+
 def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, width: float = 1.0) -> Fourier | None:
     """Fit on every labelled row that is not held out; None without both labels.
 
+    The rows of the folds CALIBRATE (crc32 of the id, mod 5) set the calibration and the others the
+    ridge, so it is calibrated on rows that it hasn't seen (on all, if those have one label only).
     Each task adds up its rows' part of the normal equations, and the parts are summed by row of
-    the matrix on the executors: the driver gets one matrix of features + 1, however many rows.
+    the matrix on the executors, in two levels: the driver gets one matrix of features + 1, however
+    many rows. Labels that repeat a doc_id count once, the largest; null labels and ids don't count.
     """
     names = tuple(c for c in stats.columns if c != "doc_id")
     y = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("double")).alias("y"))
-    rows = save(stats.join(y, "doc_id").select("y", *names), "labelled")
+    fold = (F.crc32(F.col("doc_id").cast("string")) % 5).isin(*CALIBRATE)
+    every = save(stats.join(y, "doc_id").select("y", *names, fold.alias("late")), "labelled")
+    either = every.groupBy("late").agg(F.count_distinct("y").alias("n")).where("n > 1").count()
+    rows, late = (every.where("not late"), every.where("late")) if either == 2 else (every, every)
     of = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"), *[F.mean(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
     if not of["n"] or of["p"] in (0, of["n"]):
         return None
@@ -106,12 +123,13 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, width: fl
             if len(pdf):
                 z = model.features(pdf)
                 total += z.T @ np.hstack([z, pdf["y"].to_numpy()[:, None]])
-        yield pd.DataFrame({"i": np.arange(len(total)), "v": list(total)})
+        yield pd.DataFrame({"i": np.arange(len(total)), "part": TaskContext.get().partitionId() % PARTS, "v": list(total)})
 
     def add(pdf):
         return pd.DataFrame({"i": pdf["i"].iloc[:1], "v": [np.sum(pdf["v"].tolist(), axis=0)]})
 
-    summed = rows.mapInPandas(parts, "i int, v array<double>").groupBy("i").applyInPandas(add, "i int, v array<double>").collect()
+    summed = rows.mapInPandas(parts, "i int, part int, v array<double>").groupBy("i", "part").applyInPandas(add, "i int, v array<double>")
+    summed = summed.groupBy("i").applyInPandas(add, "i int, v array<double>").collect()
     a = np.array([r["v"] for r in sorted(summed, key=lambda r: r["i"])])
     penalty = RIDGE * of["n"] / features * np.eye(features + 1)
     penalty[-1, -1] = 0
@@ -128,7 +146,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, width: fl
         some = np.flatnonzero(hits[:, 2])
         yield pd.DataFrame({"bin": some, "x": hits[some, 0], "y": hits[some, 1], "n": hits[some, 2]})
 
-    bins = rows.mapInPandas(binned, "bin int, x double, y double, n double").groupBy("bin").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas().sort_values("bin")
+    bins = late.mapInPandas(binned, "bin int, x double, y double, n double").groupBy("bin").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas().sort_values("bin")
     knots, values = _isotonic((bins["x"] / bins["n"]).to_numpy(), bins["y"].to_numpy(), bins["n"].to_numpy())
     return Fourier(*[getattr(model, k) for k in ("names", "mean", "scale", "w", "b", "beta")], knots, values)
 
@@ -147,20 +165,24 @@ def score(stats: DataFrame, model: Fourier | None) -> DataFrame:
 
 
 def accepted(documents: DataFrame, model: Fourier | None, least: float) -> DataFrame:
-    """The documents that score ``least`` or more, with their columns: statistics and score join the text in one pass, no shuffle."""
+    """The documents that score ``least`` or more, with their columns: statistics and score join the text in one pass, no shuffle.
+
+    A null text is scored as an empty one; rows that repeat are judged each; an empty table stays
+    empty. Other columns may have any names.
+    """
     if model is None:
         return documents
     bound_batches(documents.sparkSession)
-    stats = {f"_{k}": c.cast("double") for k, c in statistics(F.col("text").cast("string")).items()}
-    columns, names = documents.columns, list(stats)
-    wide = documents.select("*", *[c.alias(k) for k, c in stats.items()])
+    stats = statistics(F.col("text").cast("string"))
+    columns, kinds, names = documents.columns, list(stats), unused(documents, *stats)
+    wide = documents.select("*", *[c.cast("double").alias(n) for n, c in zip(names, stats.values(), strict=True)])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            table = pd.DataFrame({k[1:]: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in names})
+            table = pd.DataFrame({k: batch.column(len(columns) + i).to_numpy(zero_copy_only=False) for i, k in enumerate(kinds)})
             keep = model.probability(model.raw(table)) >= least if len(table) else np.zeros(0, bool)
-            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(list(range(len(columns)))).filter(pa.array(keep, pa.bool_()))
 
     return wide.mapInArrow(run, documents.schema)

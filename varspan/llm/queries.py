@@ -37,9 +37,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    # the rules are the base ones, so all spans are base spans
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
-    return packing.pack(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, public.path("byte_bpe_50k.json"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,17 +98,18 @@ WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 s AS (
   SELECT doc_id, text, k.kind, k.ord, k.re, 0 AS skipped, text AS rest, CAST(NULL AS VARCHAR) AS m, CAST(NULL AS BIGINT) AS pos FROM d,
     (VALUES ('assign', 1, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+'),
-            ('access', 2, 'AKIA[A-Z0-9]+'), ('hex', 3, '[0-9a-f]{24,}')) k(kind, ord, re)
+            ('access', 2, 'AKIA[A-Z0-9]+'), ('hex', 3, '[0-9a-f]{24,}'), ('key', 4, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), ('chat', 5, 'xox[abprs]-[A-Za-z0-9-]+')) k(kind, ord, re)
   UNION ALL
   SELECT doc_id, text, kind, ord, re, skipped + instr(rest, f) - 1 + length(f), substr(rest, instr(rest, f) + length(f)), f, skipped + instr(rest, f) - 1
   FROM (SELECT *, regexp_extract(rest, re) AS f FROM s) WHERE f <> ''),
 h AS (SELECT doc_id, kind, ord, pos, length(m) AS n,
-             CASE WHEN kind = 'assign' THEN length(regexp_extract(m, '^[A-Za-z_]+["'']?\\x20*[:=]\\x20*["'']?(.*)$', 1)) >= 6 WHEN kind = 'access' THEN length(m) >= 20 ELSE length(m) >= 24 END AS ok
+             CASE WHEN kind = 'assign' THEN length(regexp_extract(m, '^[A-Za-z_]+["'']?\\x20*[:=]\\x20*["'']?(.*)$', 1)) >= 6 WHEN kind = 'access' THEN length(m) >= 20 WHEN kind = 'hex' THEN length(m) >= 24 ELSE true END AS ok
       FROM s WHERE m IS NOT NULL),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || pos || ':' || (pos + n), ',' ORDER BY pos, ord) FILTER (ord <= 3) AS base,
              string_agg(kind || ':' || pos || ':' || (pos + n), ',' ORDER BY pos, ord) AS spans FROM h WHERE ok GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 

@@ -19,6 +19,12 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]{16,}", False, 0),
     ("hex", r"[0-9a-f]{24,}", False, 0),
 )
+#: More kinds, behind the base ones: heads of private keys, and tokens of chat services.
+MORE_RULES = RULES + (
+    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]+", False, 0),
+)
+BASE = tuple(r[0] for r in RULES)
 #: What stands before an assigned value: for its length.
 _LEAD = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 #: Bytes of a lane of the scan.
@@ -35,7 +41,7 @@ class Scanner:
     leftmost start behind the rule's last match.
     """
 
-    def __init__(self, rules=RULES):
+    def __init__(self, rules=MORE_RULES):
         self.rules = rules
         self.all = compile_rules([(p, i) for _, p, i, _ in rules], anywhere=True)
         self.back = [compile_rules([(p, i)], anywhere=False, backwards=True) for _, p, i, _ in rules]
@@ -106,30 +112,36 @@ class Scanner:
         after[:-1] = bits[1:]
         after[ends[ends > 0] - 1] = 0
         over = bits & ~after
-        for at in np.flatnonzero(over):
-            doc = int(np.searchsorted(ends, at, side="right"))
-            text, end = texts[doc], int(at - starts[doc]) + 1
+        # the end of each rule's last match in a text, so that its next one starts behind it
+        last: dict[tuple[int, int], int] = {}
+        at = np.flatnonzero(over)
+        for at, doc in zip(at.tolist(), np.searchsorted(ends, at, side="right").tolist(), strict=True):
+            text, end = texts[doc], at - int(starts[doc]) + 1
             for k in range(len(self.rules)):
                 if over[at] >> k & 1:
-                    least = max((e for _, r, e in found[doc] if r == k), default=0)
-                    if (s := self._start(k, text, least, end)) >= 0:
+                    if (s := self._start(k, text, last.get((doc, k), 0), end)) >= 0:
                         found[doc].append((s, k, end))
+                        last[doc, k] = end
         for doc, own in enumerate(found):
             found[doc] = sorted(x for x in own if not self.rules[x[1]][3] or self._value(texts[doc], x[0], x[2]) >= self.rules[x[1]][3])
         return found
 
 
 def _points(text: bytes, spans):
-    """Byte offsets to code points."""
-    return [(len(text[:s].decode("utf-8", "replace")), k, len(text[:e].decode("utf-8", "replace"))) for s, k, e in spans]
+    """Byte offsets to code points: one count of the bytes that begin one."""
+    if not spans:
+        return []
+    upto = np.append(0, np.cumsum(np.frombuffer(text, dtype=np.uint8) & 0xC0 != 0x80))
+    return [(int(upto[s]), k, int(upto[e])) for s, k, e in spans]
 
 
-def scan(documents: DataFrame, rules=RULES) -> DataFrame:
+def scan(documents: DataFrame, rules=MORE_RULES) -> DataFrame:
     """doc_id, n_<kind> of each rule, spans [kind, start, end], redacted.
 
     Offsets are code points of the whole text, ends exclusive. ``redacted`` is the text with the
     secrets replaced by [kind]; a null text has no spans and stays null. Case and letters are
-    ASCII; a row repeated is scanned again.
+    ASCII; a row repeated is scanned again. An empty text has no spans, a null doc_id stays null,
+    other columns are not looked at, and an empty table gives no rows.
     """
     bound_batches(documents.sparkSession)
     kinds = [r[0] for r in rules]
@@ -167,8 +179,11 @@ def _redact(text: str | None, own, kinds) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(documents: DataFrame, rules=RULES) -> DataFrame:
-    """The documents with secrets replaced in ``text`` and ``n_chars`` set anew; all other columns stay."""
+def redact(documents: DataFrame, rules=MORE_RULES) -> DataFrame:
+    """The documents with secrets replaced in ``text`` and ``n_chars`` set anew; all other columns stay, whatever their names.
+
+    A null text stays null, with a null n_chars; rows that repeat are scanned each; an empty table stays empty.
+    """
     bound_batches(documents.sparkSession)
     kinds = [r[0] for r in rules]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -13,26 +14,42 @@ from pyspark.sql import functions as F
 
 from varspan.llm.common import bound_batches, held_out, save
 
-#: Labelled documents that the model is fitted on, about, and words that it may weigh.
-FIT_DOCS, VOCABULARY = 20_000, 4096
+#: Labelled documents, and characters of their texts, that the model is fitted on, about; words and stems that it may weigh.
+FIT_DOCS, FIT_CHARS, VOCABULARY = 20_000, 100_000_000, 4096
+#: A stem is a word's first letters; so many make one, with a mark behind it, as words of one family share them.
+STEM, MARK = 4, "*"
+#: A word or stem is weighed if its share of toxic documents is so many standard deviations from that of all, and it is in so many documents and shares of them.
+SIGMAS, LEAST, LEAST_SHARE = 5.0, 10, 0.0005
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 
 
+def features(sentence: str) -> set[str]:
+    """The distinct words of a sentence, lower-cased, and the stems of the longer ones."""
+    words = set(WORD.findall(sentence.lower()))
+    return words | {w[:STEM] + MARK for w in words if len(w) > STEM}
+
+
 @dataclass(frozen=True)
 class NoisyOr:
-    """A sentence of words S has logit bias + sum of weights of the distinct words in S that have one."""
+    """A sentence with features S has logit bias + sum of weights of those in S that have one."""
 
     bias: float
     weights: dict[str, float]
 
+    @cached_property
+    def tables(self) -> tuple[dict[str, float], dict[str, float]]:
+        """The weights of words, and those of stems by their letters."""
+        stems = {w: x for w, x in self.weights.items() if w.endswith(MARK)}
+        return {w: x for w, x in self.weights.items() if w not in stems}, {w[:STEM]: x for w, x in stems.items()}
+
     def sentences(self, text: str | None):
         """(start, end, logit) of each sentence."""
-        get, out = self.weights.get, []
+        (of_word, of_stem), out = self.tables, []
         for m in SENTENCE.finditer(text or ""):
-            z = self.bias
-            for w in set(WORD.findall(m[0].lower())):
-                z += get(w, 0.0)
+            words = set(WORD.findall(m[0].lower()))
+            stems = of_stem.keys() & {w[:STEM] for w in words if len(w) > STEM}
+            z = self.bias + sum(of_word[w] for w in sorted(of_word.keys() & words)) + sum(of_stem[w] for w in sorted(stems))
             out.append((m.start(), m.end(), z))
         return out
 
@@ -41,16 +58,18 @@ def _softplus(z):
     return np.logaddexp(0.0, z)
 
 
-def _words(text: str | None) -> list[list[str]]:
-    return [sorted(set(WORD.findall(s.lower()))) for s in SENTENCE.findall(text or "")]
+def _words(text: str | None) -> list[set[str]]:
+    return [features(s) for s in SENTENCE.findall(text or "")]
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, vocabulary: int = VOCABULARY, rounds: int = 400, decay: float = 1e-3) -> NoisyOr:
-    """Fit on about ``fit_docs`` labelled documents that are not held out, dealt by hash of the id.
+def fit(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, vocabulary: int = VOCABULARY, rounds: int = 400, decay: float = 3e-4) -> NoisyOr:
+    """Fit on about ``fit_docs`` labelled documents of about ``fit_chars`` characters that are not held out, dealt by hash.
 
-    Word counts by label pick the vocabulary on the executors; what the driver trains on is the
-    sample's sentences in that vocabulary, bounded by the sample. Without both labels the bias
-    alone is fitted.
+    Counts of words and stems by label pick the vocabulary on the executors: those whose share of
+    toxic documents is SIGMAS standard deviations from that of all, ``vocabulary`` of them at most,
+    the furthest first, ties by spelling. What the driver trains on is the sample's sentences in that
+    vocabulary, bounded by the sample. Without both labels the bias alone is fitted. Labels that
+    repeat a doc_id count once, the largest; null labels and ids don't count.
     """
     y = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     n = y.count()
@@ -58,6 +77,9 @@ def fit(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, vocab
         y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(fit_docs / n * (1 << 30)))
     # about fit_docs rows of two numbers: a bounded side
     docs = save(documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("y", "text"), "fit")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > fit_chars:
+        docs = docs.where(F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 30)) < int(fit_chars / chars * (1 << 30)))
     total = {r["y"]: r["n"] for r in docs.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
     if not pos or not neg:
@@ -65,21 +87,21 @@ def fit(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, vocab
 
     def words(batches):
         for pdf in batches:
-            rows = [(y, w) for y, t in zip(pdf["y"], pdf["text"], strict=True) for w in set().union(*_words(t))] if len(pdf) else []
+            rows = [(y, w) for y, t in zip(pdf["y"], pdf["text"], strict=True) for w in features(t or "")] if len(pdf) else []
             yield pd.DataFrame(rows, columns=["y", "word"])
 
     seen = docs.mapInPandas(words, "y int, word string").groupBy("word").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
     rate = pos / (pos + neg)
     z = (F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    least = max(3, int(0.0003 * (pos + neg)))
-    top = seen.where(F.col("n") >= least).withColumn("z", z).where(F.abs("z") >= 3.0).orderBy(F.desc(F.abs("z")), "word").limit(vocabulary).collect()
+    least = max(LEAST, int(LEAST_SHARE * (pos + neg)))
+    top = seen.where(F.col("n") >= least).withColumn("z", z).where(F.abs("z") >= SIGMAS).orderBy(F.desc(F.abs("z")), "word").limit(vocabulary).collect()
     index = {r["word"]: i for i, r in enumerate(top)}
 
     def encode(batches):
         for pdf in batches:
             rows = []
             for y, t in zip(pdf["y"], pdf["text"], strict=True):
-                ids = [[index[w] for w in s if w in index] for s in _words(t)]
+                ids = [sorted(index[w] for w in index.keys() & s) for s in _words(t)]
                 rows.append((y, len(ids), [x for x in ids if x]))
             yield pd.DataFrame(rows, columns=["y", "n", "ids"])
 
@@ -118,7 +140,8 @@ def score(documents: DataFrame, model: NoisyOr, bar: float = 0.5) -> DataFrame:
     """doc_id, score, n_sentences, offending: [start, end, score] of each sentence that scores ``bar`` or more alone.
 
     Offsets are code points of the whole text. A null or empty text has no sentence, so nothing
-    that could offend: its score is 0.
+    that could offend: its score is 0. Rows that repeat are scored each, a null doc_id stays null,
+    other columns are not looked at, and an empty table gives no rows.
     """
     bound_batches(documents.sparkSession)
 
