@@ -12,35 +12,40 @@ LEAST_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. It learns from the labels that are not held out.
+    """Documents that the quality classifier doesn't reject, with their columns. It learns from the labels that are not held out.
 
-    The score depends on the text alone, so it is joined by row: statistics, score and text stay in one pass.
+    Statistics are computed for labelled documents to learn from, and for all in the pass that
+    scores and filters them. Null and empty texts are scored as empty ones; repeated rows are judged
+    each; without labels of both kinds nothing is rejected; an empty table stays empty.
     """
-    stats = quality.document_statistics(docs)
-    model = quality.fit(stats, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    model = quality.fit(quality.labelled_statistics(docs, labels), labels)
     return quality.accepted(docs, model, LEAST_QUALITY)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that with the smallest doc_id."""
+    """One document of each class of near copies: that with the smallest doc_id. Rows of one doc_id are judged by their own texts.
+
+    Rows equal in doc_id and text become one; empty and null texts and null ids stay; columns may have any names.
+    """
     return near_dup.dedup_documents(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by their kind and n_chars set anew."""
+    """All documents, with secrets replaced by their kind and n_chars set anew. Null texts stay null; an empty table stays empty."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is one of its own, empty and null texts go with their hash."""
     return mixing.mix_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in sequences."""
+    """The pieces of documents in sequences; null and empty texts have the end's token, null ids stay null."""
     import public_tokenizers as public
 
-    return packing.pack(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return packing.pack(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, public.path("byte_bpe_50k.json"))
 
 
 STAGES = [
