@@ -40,6 +40,13 @@ def breakend(chrom: Column, pos: Column, strand: Column) -> Column:
     return F.when(strand == "-", F.concat(F.lit("]"), at, F.lit("]N"))).otherwise(F.concat(F.lit("["), at, F.lit("[N")))
 
 
+def parsed_breakend(alt: Column) -> Column:
+    """chrom2, pos2, strand2 of a breakend's text; strand2 is "-" where it holds a ]."""
+    at = F.regexp_extract(alt, r"[\[\]]([^\[\]]+):\d+[\[\]]", 1)
+    pos = F.regexp_extract(alt, r":(\d+)[\[\]]", 1).try_cast("long")
+    return F.struct(at.alias("chrom2"), pos.alias("pos2"), F.when(alt.contains("]"), "-").otherwise("+").alias("strand2"))
+
+
 def inheritance(target: Column, base: Column, least: float, somatic: bool) -> Column:
     """NewCOMP: the base has none; NewALLELE: their frequencies differ by ``least`` or more; else Germline."""
     new = (base == 0) & (target >= least) if somatic else base == 0

@@ -171,6 +171,38 @@ def q_read_filter(spark, d):
     return signatures.usable_reads(sig(spark, d), P).groupBy("sample", "chrom", "op").agg(F.count(ONE).alias("n"), F.sum("mapq").alias("mapq"))
 
 
+FLAG = """fl AS (SELECT *, CASE WHEN read_id % 7 = 0 THEN 256 WHEN read_id % 7 = 1 THEN 4 WHEN read_id % 7 = 2 THEN 2048 ELSE 16 END AS flag FROM sig),
+ac AS (SELECT DISTINCT chrom FROM sig WHERE chrom <> 'chr3')"""
+
+
+@query(_sql(SIG, FLAG, select="""SELECT sample, chrom, flag, count(*) AS n FROM fl WHERE flag <> 4 AND chrom IN (SELECT chrom FROM ac) AND (sample <> 'target' OR (flag <> 256 AND mapq >= 20))
+  AND (CASE WHEN op = 'D' THEN 2 ELSE 1 END) / (length + CASE WHEN op = 'D' THEN 30 ELSE 0 END)::double < 0.04 GROUP BY ALL"""))
+def q_align_filter(spark, d):
+    r = F.col("read_id") % 7
+    x = sig(spark, d).withColumns({
+        "flag": F.when(r == 0, 256).when(r == 1, 4).when(r == 2, 2048).otherwise(16),
+        "cigar": F.when(F.col("op") == "D", F.concat(F.lit("10M1I5M30D"), F.col("length") - 15, F.lit("M"))).otherwise(F.concat(F.lit("10M1I"), F.col("length") - 10, F.lit("M"))),
+        "ref_end": F.col("ref_start") + F.col("length") + F.when(F.col("op") == "D", 30).otherwise(0) - 1,
+    })
+    access = x.where("chrom <> 'chr3'").select("chrom")
+    return signatures.usable_alignments(x, access, P, mismatch_filter=True).groupBy("sample", "chrom", "flag").agg(F.count(ONE).alias("n"))
+
+
+@query(_sql(SIG, """pr AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY sample, ref_start, length, op, site, mapq) - 1 AS k FROM sig),
+pm AS (SELECT read_id, sample FROM pr WHERE k = 0),
+sa AS (SELECT pr.*, pm.sample AS owner, CASE WHEN pr.site % 2 = 0 THEN '-' ELSE '+' END AS tag, CASE WHEN pr.read_id % 2 = 0 THEN '-' ELSE '+' END AS own FROM pr JOIN pm USING (read_id))""", select="""SELECT read_id, chrom, ref_start, ref_start + length + 29 AS ref_end, CASE WHEN k = 0 OR tag = own THEN 21 ELSE 51 END AS read_start,
+  CASE WHEN k = 0 OR tag = own THEN 20 ELSE 50 END + length AS read_end, CASE WHEN k = 0 OR tag = own THEN '+' ELSE '-' END AS strand, k = 0 AS is_primary, count(*) AS n
+  FROM sa WHERE chrom <> 'chr3' AND (k = 0 OR owner <> 'target' OR mapq >= 20) GROUP BY ALL"""))
+def q_split_alignments(spark, d):
+    w = Window.partitionBy("read_id").orderBy("sample", "ref_start", "length", "op", "site", "mapq")
+    x = sig(spark, d).withColumns({"k": F.row_number().over(w), "cigar": F.concat(F.lit("20S"), F.col("length") - 5, F.lit("M30D5M50S"))})
+    tag = F.concat_ws(",", "chrom", F.col("ref_start").cast("string"), F.when(F.col("site") % 2 == 0, "-").otherwise("+"), "cigar", F.col("mapq").cast("string"), F.lit("0"))
+    sa = x.where("k > 1").groupBy("read_id").agg(F.concat(F.array_join(F.array_sort(F.collect_list(tag)), ";"), F.lit(";")).alias("sa"))
+    reads_ = x.where("k = 1").join(sa, "read_id", "left").withColumn("flag", F.when(F.col("read_id") % 2 == 0, 16).otherwise(0))
+    out = alignments.split_alignments(reads_, x.where("chrom <> 'chr3'").select("chrom"), P)
+    return out.groupBy("read_id", "chrom", "ref_start", "ref_end", "read_start", "read_end", "strand", "is_primary").agg(F.count(ONE).alias("n"))
+
+
 PAIR = "pr AS (SELECT x.aln_id AS a, y.aln_id AS b, x.ref_start AS s1, x.ref_end AS e1, y.ref_start AS s2, y.ref_end AS e2 FROM a x JOIN a y ON x.chrom = y.chrom AND x.read_id = y.read_id AND x.aln_id < y.aln_id)"
 CLASS = """CASE WHEN s1 = s2 AND e1 = e2 THEN 'non_overlap' WHEN s2 - 50 <= s1 AND s1 < e1 AND e1 <= e2 + 50 THEN 'a_in_b' WHEN s1 - 50 <= s2 AND s2 < e2 AND e2 <= e1 + 50 THEN 'b_in_a'
  WHEN s1 < s2 AND s2 < e1 AND e1 < e2 THEN 'a_before_b' WHEN s2 < s1 AND s1 < e2 AND e2 < e1 THEN 'b_before_a' ELSE 'non_overlap' END"""
@@ -185,15 +217,22 @@ def q_overlap_class(spark, d):
     return both.select("a", "b", C.overlap_class(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("kind"))
 
 
-RUNS = """m0 AS (SELECT concat(CAST(read_id AS string), '-', sample) AS aln_id, chrom, op, ref_start, ref_start + length AS ref_end, length FROM sig),
-m1 AS (SELECT *, CASE WHEN lag(op) OVER w = op AND ref_start - lag(ref_end) OVER w <= 5000000 THEN 0 ELSE 1 END AS fresh FROM m0 WINDOW w AS (PARTITION BY aln_id ORDER BY ref_start, op, length)),
-m2 AS (SELECT *, sum(fresh) OVER (PARTITION BY aln_id ORDER BY ref_start, op, length RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM m1)"""
+#: Sites of a read are put on a short reference, so that runs occur.
+RUNS = """m0 AS (SELECT concat(CAST(read_id AS string), '-', sample) AS aln_id, chrom, op, site % 40 * 700 + read_id % 41 AS ref_start, length,
+  CASE WHEN op = 'I' THEN site % 40 * 700 + read_id % 41 ELSE site % 40 * 700 + read_id % 41 + length END AS ref_end FROM (SELECT *, 'chr' AS c0 FROM sig)),
+m1 AS (SELECT *, CASE WHEN lag(op) OVER w = op AND op IN ('D', 'I') AND abs(ref_start - lag(ref_end) OVER w) <= 1000 THEN 0 ELSE 1 END AS fresh, row_number() OVER w AS k FROM m0
+  WINDOW w AS (PARTITION BY aln_id ORDER BY ref_start, op, length, ref_end, chrom)),
+m2 AS (SELECT *, sum(fresh) OVER (PARTITION BY aln_id ORDER BY k) AS run FROM m1),
+m3 AS (SELECT aln_id, run, first(k ORDER BY CASE WHEN op = 'D' THEN -length ELSE 0 END, k) AS top FROM m2 GROUP BY aln_id, run),
+m4 AS (SELECT m2.*, top FROM m2 JOIN m3 USING (aln_id, run))"""
 
 
-@query(_sql(SIG, RUNS, select="SELECT aln_id, chrom, op, min(ref_start) AS ref_start, CAST(sum(length) AS bigint) AS length, count(*) AS n_merged FROM m2 GROUP BY aln_id, chrom, op, run"))
+@query(_sql(SIG, RUNS, select="""SELECT aln_id, op, CAST(max(CASE WHEN k = top THEN ref_start END) - sum(CASE WHEN op = 'D' AND k < top THEN length ELSE 0 END) AS bigint) AS ref_start,
+  CAST(max(CASE WHEN k = top THEN ref_end END) + sum(CASE WHEN op = 'D' AND k > top THEN length ELSE 0 END) AS bigint) AS ref_end, CAST(sum(length) AS bigint) AS length, count(*) AS n_merged FROM m4 GROUP BY aln_id, op, run"""))
 def q_merge_nearby(spark, d):
-    s = sig(spark, d).select(F.concat_ws("-", F.col("read_id").cast("string"), "sample").alias("aln_id"), "chrom", "op", "ref_start", (F.col("ref_start") + F.col("length")).alias("ref_end"), "length")
-    return signatures.merge_nearby(s, 5_000_000)
+    at = F.col("site") % 40 * 700 + F.col("read_id") % 41
+    s = sig(spark, d).select(F.concat_ws("-", F.col("read_id").cast("string"), "sample").alias("aln_id"), F.lit("chr").alias("chrom"), "op", at.alias("ref_start"), F.when(F.col("op") == "I", at).otherwise(at + F.col("length")).alias("ref_end"), "length")
+    return signatures.merge_nearby(s, P.merge_gap).drop("chrom")
 
 
 @query(_sql(SIG, OK, select="SELECT sample, chrom, op, ref_start, length, count(DISTINCT read_id) AS support FROM ok GROUP BY ALL"))
@@ -226,13 +265,11 @@ def q_depth_at_bkp(spark, d):
     return called(spark, d).select("sample", "site", "depth")
 
 
-@query(_sql(SIG, SPAN, SEG, select="SELECT sample, chrom, read_id, ref_start, length FROM sig x WHERE NOT EXISTS (SELECT 1 FROM seg s WHERE s.sample = x.sample AND s.chrom = x.chrom AND s.depth > 25 AND x.ref_start BETWEEN s.lo AND s.hi)"))
+@query(_sql(SIG, SPAN, SEG, "deep AS (SELECT * FROM seg WHERE depth > 25)", """gone AS (SELECT DISTINCT x.sample, x.chrom, x.site, x.read_id, x.ref_start, x.length FROM sig x JOIN deep s ON s.sample = x.sample AND s.chrom = x.chrom
+  WHERE x.ref_start BETWEEN s.lo AND s.hi OR (CASE WHEN x.op = 'I' THEN x.ref_start ELSE x.ref_start + x.length END) BETWEEN s.lo AND s.hi)""", select="SELECT sample, chrom, read_id, ref_start, length FROM sig x WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.sample = x.sample AND g.chrom = x.chrom AND g.site = x.site AND g.read_id = x.read_id AND g.ref_start = x.ref_start AND g.length = x.length)"))
 def q_overcov_filter(spark, d):
-    x = sig(spark, d)
-    deep = depth.segments(spans(spark, d)).where("depth > 25").select("sample", "chrom", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    at = x.select("sample", "chrom", "ref_start").distinct().withColumns({"lo": F.col("ref_start"), "hi": F.col("ref_start")})
-    over = overlap_join(at, deep, ["sample", "chrom"], 1000).select("sample", "chrom", "ref_start").distinct()
-    return x.join(over, ["sample", "chrom", "ref_start"], "left_anti").select("sample", "chrom", "read_id", "ref_start", "length")
+    x = sig(spark, d).withColumn("ref_end", F.when(F.col("op") == "I", F.col("ref_start")).otherwise(F.col("ref_start") + F.col("length")))
+    return signatures.without_deep(x, depth.segments(spans(spark, d)), 25).select("sample", "chrom", "read_id", "ref_start", "length")
 
 
 @query(_sql(SIG, OK, SITE, SPAN, select="SELECT c.sample, c.site, count(DISTINCT s.read_id) AS reads FROM calls c JOIN span s ON s.sample = c.sample AND s.chrom = c.chrom AND s.lo < c.start - 10 AND s.hi > c.start + 10 GROUP BY ALL"))
@@ -249,6 +286,22 @@ def q_coarse_cluster(spark, d):
     return c.groupBy("sample", "chrom", "op", "island", "cluster").agg(F.min("ref_start").alias("first"), F.max("ref_start").alias("last"), F.count(ONE).alias("n")).drop("island", "cluster")
 
 
+#: A third of a site's reads have another op, that doesn't keep them from the site's cluster.
+MIXED = "mx AS (SELECT sample, chrom, site, CASE WHEN read_id % 3 > 0 THEN op WHEN op = 'D' THEN 'V' WHEN op = 'V' THEN 'D' ELSE 'I+V' END AS op, ref_start, length, read_id FROM ok)"
+
+
+@query(_sql(SIG, OK, MIXED, "ct AS (SELECT sample, chrom, site, op, count(DISTINCT read_id) AS support FROM mx GROUP BY ALL)", "cl AS (SELECT sample, chrom, site, min(ref_start) AS first, max(ref_start) AS last FROM mx GROUP BY ALL)", select="SELECT sample, chrom, first, last, op, support FROM cl JOIN ct USING (sample, chrom, site)"))
+def q_mixed_cluster(spark, d):
+    other = F.when(F.col("read_id") % 3 > 0, F.col("op")).when(F.col("op") == "D", "V").when(F.col("op") == "V", "D").otherwise("I+V")
+    x = signatures.usable_reads(sig(spark, d), P).withColumn("op", other)
+    c = cluster.coarse_clusters(signatures.collapse(x), P).drop("support")
+    keys = ["sample", "chrom", "island", "cluster"]
+    span = c.groupBy(*keys).agg(F.min("ref_start").alias("first"), F.max("ref_start").alias("last"))
+    members = x.join(c, ["sample", "chrom", "op", "ref_start", "length"])
+    none = span.select(*keys).withColumn("bonus", F.lit(0))
+    return rescue.fine_split(members.select(*keys, "op", "read_id"), keys, none, P).join(span, keys).select("sample", "chrom", "first", "last", "op", "support")
+
+
 @query(_sql(SIG, OK, select="SELECT sample, site, list_sort(list(ref_start))[CAST(floor(count(*) / 2) AS int) + 1] AS start, list_sort(list(length))[CAST(floor(count(*) / 2) AS int) + 1] AS length, count(DISTINCT read_id) AS support FROM ok GROUP BY ALL"))
 def q_centroid(spark, d):
     return cluster.centroids(signatures.usable_reads(sig(spark, d), P), ["sample", "site"])
@@ -379,6 +432,21 @@ def q_inheritype_vaf(spark, d):
     return _both(spark, d).select("site", "tv", "bv", C.inheritance(F.col("tv"), F.col("bv"), P.diff_freq, False).alias("label"))
 
 
+COMPARE = """bx AS (SELECT site, 'father' AS base, vaf, depth, support FROM called WHERE sample = 'base' UNION ALL SELECT site, 'mother', vaf, depth, support FROM called WHERE sample = 'base' AND site % 2 = 0),
+nb AS (SELECT unnest(['father', 'mother']) AS base), mo AS (SELECT unnest(['denovo', 'somatic']) AS mode),
+cx AS (SELECT t.site, mode, nb.base, t.vaf AS tv, coalesce(b.vaf, 0.0) AS bv, b.depth, b.support FROM (SELECT * FROM called WHERE sample = 'target') t CROSS JOIN nb CROSS JOIN mo LEFT JOIN bx b ON b.site = t.site AND b.base = nb.base),
+lx AS (SELECT *, CASE WHEN bv = 0 AND (mode = 'denovo' OR tv >= 0.3) THEN 'NewCOMP' WHEN abs(tv - bv) >= 0.3 THEN 'NewALLELE' ELSE 'Germline' END AS label FROM cx)"""
+
+
+@query(_sql(SIG, OK, SITE, SPAN, SEG, CALLED, COMPARE, select=f"SELECT site, mode, base, label, CASE WHEN label = 'Germline' THEN {GT.format('tv')} ELSE {GT.format('bv')} END AS gt, CASE WHEN depth IS NULL THEN 'NA' ELSE CAST(greatest(depth - support, 0) AS string) END AS dr, coalesce(CAST(support AS string), 'NA') AS dv FROM lx"))
+def q_compare_calls(spark, d):
+    c = called(spark, d).withColumns({"gt": C.genotype(F.col("vaf")), "dr": C.reference_reads(F.col("depth"), F.col("support")), "dv": F.col("support"), "id": F.col("site")})
+    base = c.where("sample = 'base'")
+    bases = base.withColumn("base", F.lit("father")).unionByName(base.where("site % 2 = 0").withColumn("base", F.lit("mother")))
+    modes = [compare.compare_calls(c.where("sample = 'target'"), bases, ["father", "mother"], P, mode == "somatic").withColumn("mode", F.lit(mode)) for mode in ("denovo", "somatic")]
+    return modes[0].unionByName(modes[1]).withColumnRenamed("id", "site")
+
+
 @query(_sql(SIG, OK, SITE, SPAN, SEG, CALLED, BOTH, f"lb AS (SELECT site // 10 AS grp, {INH.format(t='tv', b='bv')} AS label FROM tb)", select="SELECT grp, CASE WHEN count(DISTINCT label) = 1 THEN min(label) WHEN avg(CASE WHEN label = 'Germline' THEN 1.0 ELSE 0.0 END) >= 0.2 THEN 'Germline' WHEN avg(CASE WHEN label = 'NewALLELE' THEN 1.0 ELSE 0.0 END) >= 0.2 THEN 'NewALLELE' ELSE 'NewCOMP' END AS label FROM lb GROUP BY grp"))
 def q_inheritype_final(spark, d):
     x = _both(spark, d).select(F.floor(F.col("site") / 10).alias("grp"), C.inheritance(F.col("tv"), F.col("bv"), P.diff_freq, False).alias("label"))
@@ -462,6 +530,18 @@ def q_vcf_lines(spark, d):
     return x.select(vcf.record(x).alias("line"))
 
 
+@query(_sql(SIG, OK, SITE, SPAN, SEG, CALLED, select=f"""SELECT chrom, start, concat(sample, '-', CAST(site AS string)) AS id, concat('<', CASE op WHEN 'D' THEN 'DEL' WHEN 'V' THEN 'INV' ELSE 'INS' END, '>') AS alt, 'PASS' AS filter, "end", length,
+  CASE op WHEN 'D' THEN 'DEL' WHEN 'V' THEN 'INV' ELSE 'INS' END AS type, support, vaf, op AS bkps, {GT.format('vaf')} AS gt, CAST(greatest(depth - support, 0) AS string) AS dr, CAST(support AS string) AS dv FROM called"""))
+def q_vcf_fields(spark, d):
+    r = q_vcf_lines(spark, d).select(vcf.parsed(F.col("line")).alias("r")).select("r.*")
+    return r.withColumn("s", F.col("samples")[0]).select(*[c for c in r.columns if c != "samples"], "s.gt", "s.dr", "s.dv")
+
+
+@query(_sql(SIG, SRC, select="SELECT DISTINCT read_id, site, c2 AS chrom2, s2 AS pos2, strand AS strand2 FROM src WHERE c2 IS NOT NULL"))
+def q_bnd_parse(spark, d):
+    return q_bnd_alt(spark, d).select("read_id", "site", C.parsed_breakend(F.col("alt")).alias("e")).select("read_id", "site", "e.*")
+
+
 @query(_sql(SIG, OK, SITE, SPAN, SEG, CALLED, "lk AS (SELECT sample, site, support * ln(0.05::double) + greatest(depth - support, 0) * ln(1 - 0.05::double) AS a, support * ln(0.5::double) + greatest(depth - support, 0) * ln(1 - 0.5::double) AS b, support * ln(0.95::double) + greatest(depth - support, 0) * ln(1 - 0.95::double) AS c FROM called)", select="SELECT sample, site, CASE WHEN a >= b AND a >= c THEN '0/0' WHEN b >= c THEN '0/1' ELSE '1/1' END AS gt FROM lk"))
 def q_binom_gt(spark, d):
     return called(spark, d).select("sample", "site", C.genotype_by_likelihood(C.reference_reads(F.col("depth"), F.col("support")), F.col("support")).alias("gt"))
@@ -626,10 +706,10 @@ def q_rescue_uncovered(spark, d):
     return rescue.rescue_uncovered(_loose(spark, d), _target(spark, d), P)
 
 
-@query(_sql(SIG, OK, SITE, BNDS, "ins AS (SELECT chrom AS c, site, start + 30 AS start, support FROM calls WHERE sample = 'target' AND op = 'V' AND site % 3 = 0)", "hit AS (SELECT id, arg_min(site, struct_pack(k := -support, s := site)) AS call_id FROM bn JOIN ins ON (c = chrom AND abs(start - pos) < 50) OR (c = chrom2 AND abs(start - pos2) < 50) GROUP BY id)", select="SELECT bn.id, call_id FROM bn LEFT JOIN hit ON bn.id = hit.id"))
+@query(_sql(SIG, OK, SITE, BNDS, "ins AS (SELECT chrom AS c, site, start + 30 AS start, support FROM calls WHERE sample = 'target' AND op = 'V')", "hit AS (SELECT id, arg_min(site, struct_pack(k := -support, s := site)) AS call_id FROM bn JOIN ins ON (c = chrom AND abs(start - pos) < 50) OR (c = chrom2 AND abs(start - pos2) < 50) GROUP BY id)", select="SELECT bn.id, call_id FROM bn LEFT JOIN hit ON bn.id = hit.id"))
 def q_bnd_absorb(spark, d):
     b = _bnds(spark, d)
-    ins = _target(spark, d).where("op = 'V' and call_id % 3 = 0").withColumn("start", F.col("start") + 30)
+    ins = _target(spark, d).where("op = 'V'").withColumn("start", F.col("start") + 30)
     return b.select("id").join(rescue.absorbed_breakends(b, ins), "id", "left")
 
 
@@ -693,7 +773,8 @@ BASES = ("ACGT" * 13)[: len(LETTERS)]
 KMER = f"""kb AS (SELECT doc_id AS id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}') AS ref FROM documents),
 kq AS (SELECT id, ref, CASE WHEN id % 2 = 0 THEN q ELSE reverse(translate(q, 'ACGT', 'TGCA')) END AS q FROM (SELECT *, substr(ref, length(ref) // 3 + 1, length(ref) // 3) AS q FROM kb)),
 ks AS (SELECT id, 'r' AS side, ref AS b FROM kq UNION ALL SELECT id, '+', q FROM kq UNION ALL SELECT id, '-', reverse(translate(q, 'ACGT', 'TGCA')) FROM kq),
-kk AS (SELECT id, side, i AS pos, substr(b, CAST(i + 1 AS bigint), 17) AS kmer FROM ks, unnest(range(0, length(b) - 16)) t(i) WHERE length(b) >= 17),
+kc AS (SELECT id, side, cut, substr(b, CAST(cut + 1 AS bigint), 528) AS piece FROM (SELECT id, side, b, unnest(range(0, length(b) - 16, 512)) AS cut FROM ks WHERE length(b) >= 17)),
+kk AS (SELECT id, side, cut + i AS pos, substr(piece, CAST(i + 1 AS bigint), 17) AS kmer FROM (SELECT *, unnest(range(0, length(piece) - 16)) AS i FROM kc)),
 k1 AS (SELECT id, side, kmer, any_value(pos) AS pos FROM kk GROUP BY ALL HAVING count(*) = 1),
 kp AS (SELECT q.id, q.side AS strand, q.pos AS query_pos, r.pos AS ref_pos FROM k1 q JOIN k1 r ON q.id = r.id AND q.kmer = r.kmer WHERE q.side <> 'r' AND r.side = 'r')"""
 
