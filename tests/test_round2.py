@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from varspan.functions import calls as C
-from varspan.jobs.detect import split_read_events
+from varspan.jobs.detect import call_reads, split_read_events
 from varspan.operators import cluster, compare, depth, reads, signatures
 from varspan.params import PRESETS
 from varspan.sources import alignments, vcf
@@ -140,3 +140,17 @@ def test_extended(spark):
     df = spark.createDataFrame(rows, "start long, end long, length long, src_start long, src_end long")
     got = [(r.left, r.right) for r in cluster.extended(df).collect()]
     assert got == [(930, 1170), (500, 1170 + 70), (900 - 400, 3000)] and [(r.left, r.right) for r in cluster.extended(df.drop("src_start", "src_end")).collect()] == [(930, 1170)] * 3
+
+
+def test_call_reads(spark):
+    """An inverted middle and a deletion, in a child and one parent: types, places, support, depth and genotypes; an absent call in the other parent."""
+    access = spark.createDataFrame([("x",)], "chrom string")
+    inv = "x,5001,-,500S300M500S,60,0;x,5301,+,800S500M,60,0;"
+    rows = [(s, f"{s}{k}", 0, "x", 4501, 5000, 60, "500M800S", inv) for s, n in (("target", 6), ("father", 6)) for k in range(n)]
+    rows += [("target", f"d{k}", 0, "x", 20_001, 20_000 + 1100, 60, "500M100D500M", None) for k in range(7)]
+    rows += [("target", f"r{k}", 0, "x", 20_001, 21_100, 60, "1100M", None) for k in range(7)] + [("mother", "m", 0, "x", 4501, 5800, 60, "1300M", None)]
+    df = spark.createDataFrame(rows, "sample string, read_id string, flag int, chrom string, ref_start long, ref_end long, mapq int, cigar string, sa string")
+    got = sorted((r.sample, r.op, r.start, r.end, r.length, r.support, r.depth, r.gt, r.filter) for r in call_reads(df, access, P).collect())
+    assert got == [
+        ("father", "V", 5001, 5301, 300, 6, 6, "1/1", "PASS"), ("target", "D", 20_501, 20_601, 100, 7, 14, "0/1", "PASS"), ("target", "V", 5001, 5301, 300, 6, 6, "1/1", "PASS"),
+    ]

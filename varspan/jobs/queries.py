@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varspan.functions import calls as C
 from varspan.functions import cigar
-from varspan.jobs.detect import call_variants, split_read_events
+from varspan.jobs.detect import call_reads, call_variants, split_read_events
 from varspan.operators import cluster, compare, depth, kmers, positions, reads, rescue, signatures
 from varspan.operators.ranges import overlap_join
 from varspan.params import PRESETS
@@ -558,6 +558,32 @@ def q_detect(spark, d):
     return call_variants(sig(spark, d), spans(spark, d), P)
 
 
+#: A read for each site of an order: a deletion or insertion in its CIGAR, or an inverted middle part in its tag.
+READS = """ok AS (SELECT sample, chrom, site, op, ref_start, length, read_id, mapq FROM (SELECT sample, chrom, site, op, ref_start, length, read_id, max(mapq) AS mapq FROM sig GROUP BY ALL) WHERE sample <> 'target' OR mapq >= 20),
+span AS (SELECT sample, chrom, concat(CAST(read_id AS string), '/', CAST(site AS string)) AS read_id, CASE WHEN op = 'I' THEN ref_start - 499 ELSE ref_start - 500 END AS lo,
+  CASE WHEN op = 'I' THEN ref_start + 500 ELSE ref_start + length + 499 END AS hi FROM ok)"""
+
+
+def reads_of_sites(spark, d):
+    r = sig(spark, d).groupBy("sample", "chrom", "site", "op", "ref_start", "length", "read_id").agg(F.max("mapq").alias("mapq"))
+    n, c, at, op = F.col("length").cast("string"), F.col, F.col("ref_start"), F.col("op")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    middle = F.concat_ws(",", "chrom", at.cast("string"), F.lit("-"), text("500S", n, "M500S"), c("mapq").cast("string"), F.lit("0"))
+    last = F.concat_ws(",", "chrom", (at + c("length")).cast("string"), F.lit("+"), text((c("length") + 500).cast("string"), "S500M"), c("mapq").cast("string"), F.lit("0"))
+    return r.select(
+        "sample", F.concat_ws("/", c("read_id").cast("string"), c("site").cast("string")).alias("read_id"), F.lit(0).alias("flag"), "chrom",
+        F.when(op == "I", at - 499).otherwise(at - 500).alias("ref_start"), F.when(op == "V", at - 1).when(op == "I", at + 500).otherwise(at + c("length") + 499).alias("ref_end"), "mapq",
+        F.when(op == "V", text("500M", (c("length") + 500).cast("string"), "S")).otherwise(text("500M", n, op, F.when(op == "I", "501M").otherwise("500M"))).alias("cigar"),
+        F.when(op == "V", text(middle, ";", last, ";")).alias("sa"),
+    )
+
+
+@query(_sql(SIG, READS, SITE, SEG, CALLED, select=f'SELECT sample, chrom, op, start, "end", length, support, depth, vaf, {GT.format("vaf")} AS gt, \'PASS\' AS filter, start - (length + 1) * 7 // 10 AS "left", "end" + (length + 1) * 7 // 10 AS "right" FROM called'))
+def q_detect_reads(spark, d):
+    x = reads_of_sites(spark, d)
+    return call_reads(x, x.select("chrom").distinct(), P)
+
+
 @query(_sql(SIG, SPAN, SEG, "wn AS (SELECT sample, chrom, ref_start // 5000 AS win, op, count(DISTINCT read_id) AS reads FROM sig GROUP BY ALL)", select="SELECT sample, chrom, win, first(op ORDER BY reads DESC, CASE op WHEN 'I' THEN 1 WHEN 'D' THEN 2 ELSE 3 END) AS op, max(reads) AS reads FROM wn GROUP BY ALL"))
 def q_top_op(spark, d):
     n = sig(spark, d).groupBy("sample", "chrom", F.floor(F.col("ref_start") / 5000).alias("win"), "op").agg(F.countDistinct("read_id").alias("reads"))
