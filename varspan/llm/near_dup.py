@@ -24,6 +24,8 @@ CHAIN = 3
 BINS, WORDS_A_BIN = (128, 512, 2048, 8192), 4
 #: Rows of a block, and pairs that are compared at once.
 BLOCK, AT_ONCE = 2048, 200_000
+#: Likest partners of a row that are aligned before the others.
+FEW = 4
 #: Low bits of a hash that give way to the place of its k-mer, and k-mers that are sketched at once.
 PLACE, CHUNK = np.uint64((1 << 28) - 1), 1 << 17
 _M1, _M2, _P, _TOP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -161,19 +163,25 @@ class _Facts:
 
     def may_link(self, i: np.ndarray, other: "_Facts", j: np.ndarray, similarity: float) -> np.ndarray:
         """False only where the edit distance is surely too great."""
+        return self.apart(i, other, j, similarity) >= 0
+
+    def apart(self, i: np.ndarray, other: "_Facts", j: np.ndarray, similarity: float) -> np.ndarray:
+        """By how much counts of words differ; -1 where the edit distance is surely too great."""
         n, m = self.n[i], other.n[j]
         most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
         room = 2 * most - np.abs(n - m)
-        out = np.abs(n - m) <= most
+        out = np.where(np.abs(n - m) <= most, 0, -1)
+        found = np.full(len(i), -1, dtype=np.int64)
         for x in self.of:
             for y in other.of:
-                own = np.flatnonzero(out & (self.kind[i] == x) & (other.kind[j] == y))
+                own = np.flatnonzero((out == 0) & (self.kind[i] == x) & (other.kind[j] == y))
                 bins, step = min(x, y), max(1, (8 << 20) // max(x, y))
                 for lo in range(0, len(own), step):
                     k = own[lo : lo + step]
                     a, b = self.rows(i[k], x, bins), other.rows(j[k], y, bins)
-                    out[k] = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32) <= room[k]
-        return out
+                    differ = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32)
+                    found[k] = np.where(differ <= room[k], differ, -1)
+        return found
 
 
 def _gap(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -362,8 +370,8 @@ def _windows(n: np.ndarray, m: np.ndarray, similarity: float, rising: bool):
         lo = hi
 
 
-def _pairs_of(t: pa.Table, similarity: float):
-    """Pairs that may link, of rows (g, role, c, tid, n, hist) of whole groups g.
+def _pairs_of(t: pa.Table, similarity: float, few: int | None):
+    """Pairs that may link, of rows (g, role, c, tid, n, hist) of whole groups g; with ``few`` only so many for each row, the likest.
 
     Role 0 and 1 rows meet the other side only; role 2 rows meet each other and sides don't matter.
     """
@@ -379,13 +387,19 @@ def _pairs_of(t: pa.Table, similarity: float):
                 i, j = x[i], y[j]
                 ok = c[i] != c[j]
                 i, j = i[ok], j[ok]
-                ok = facts.may_link(i, facts, j, similarity)
+                apart = facts.apart(i, facts, j, similarity)
+                ok = np.flatnonzero(apart >= 0)
+                if few is not None:
+                    ok = ok[np.lexsort((apart[ok], i[ok]))]
+                    at = np.arange(len(ok))
+                    first = np.maximum.accumulate(np.where(np.append(True, i[ok][1:] != i[ok][:-1]), at, 0)) if len(ok) else at
+                    ok = ok[at - first < few]
                 a, b = tid[i[ok]], tid[j[ok]]
                 if len(a):
                     yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
-def _met(members: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+def _met(members: DataFrame, facts: DataFrame, similarity: float, few: int | None = None) -> DataFrame:
     """Every pair (a, b) of members (bucket, tid, c) that share a bucket, differ in class c and may link.
 
     The members of a bucket's largest class are dealt to blocks of about BLOCK and don't meet each
@@ -401,10 +415,10 @@ def _met(members: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
             if held.num_rows >= 2 * BLOCK:
                 g = held.column("g").to_numpy()
                 cut = int(np.searchsorted(g, g[-1]))
-                for got in _pairs_of(held.slice(0, cut), similarity) if cut else ():
+                for got in _pairs_of(held.slice(0, cut), similarity, few) if cut else ():
                     yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
                 held = held.slice(cut)
-        for got in _pairs_of(held, similarity) if held is not None and held.num_rows else ():
+        for got in _pairs_of(held, similarity, few) if held is not None and held.num_rows else ():
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
     sizes = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
@@ -499,12 +513,14 @@ def _classes(documents: DataFrame, k: int, minima: int, sketches: int, similarit
         comp, met = joined(comp, linked(more)), met.unionByName(more)
         forget(named)
         named = with_classes(comp)
-    forget(members)
-    # members of buckets that still hold more than one class meet each other
-    again = save(_met(named, facts, similarity).join(met, ["a", "b"], "left_anti"), "again")
-    forget(named)
-    if not again.isEmpty():
-        comp = joined(comp, linked(again))
+    # members of buckets that still hold more than one class meet each other: their likest first, which joins most classes, and then all
+    for few in (FEW, None):
+        again = save(_met(named, facts, similarity, few).join(met, ["a", "b"], "left_anti"), "again")
+        # the likest ones may all have met before, so others are looked for even where none of them is new
+        if not again.isEmpty():
+            comp, met = joined(comp, linked(again)), met.unionByName(again)
+            forget(named)
+            named = with_classes(comp) if few else None
     named = reps.select("tid", "first").join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "first", F.coalesce("component", "tid").alias("c"))
     named = save(named, "classes")
     stays = named.groupBy("c").agg(F.min("first").alias("stays"))
@@ -521,8 +537,8 @@ def near_duplicates(documents: DataFrame, k: int = K, minima: int = MINIMA, sket
     third of all rows repeat costs one row. Other texts are candidates when one of their sketches
     agrees, and link when an alignment of their words has at most (1 - similarity) edits for each word of the longer. A member of buckets of
     equal sketches meets the smallest text of them all first, and then, for its class, that of each
-    bucket. Where a bucket then holds more than one class, all its pairs of different classes meet,
-    in blocks. No bucket, partner or candidate is capped.
+    bucket. Where a bucket then holds more than one class, the likest rows of different classes are
+    aligned, and then all pairs of different classes that may link, in blocks. No bucket, partner or candidate is capped.
 
     Empty and null texts are never near anything: each is its own class, and kept. Rows that
     repeat a doc_id with another text are judged each by its own text; of texts that a class holds
@@ -547,7 +563,8 @@ def dedup_documents(documents: DataFrame, k: int = K, minima: int = MINIMA, sket
     plan = save(plan, "plan")
     text = F.col("text").cast("string")
     docs = documents.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), row_key(text).alias("row"), F.length(text).alias("n"))
-    left = docs.join(plan.where("not kept").select("doc_id", "row"), ["doc_id", "row"], "left_anti")
+    # the rows that go grow with the table, so they are met by a sorted join at every size
+    left = docs.join(plan.where("not kept").select("doc_id", "row").hint("merge"), ["doc_id", "row"], "left_anti")
     twice = plan.where("kept").select("doc_id", "row")
     if not twice.isEmpty():
         # empty texts have no words to repeat, and are rows of their own
