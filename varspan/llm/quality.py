@@ -84,13 +84,6 @@ def document_statistics(documents: DataFrame) -> DataFrame:
     return save(documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("double").alias(k) for k, c in stats.items()]), "stats")
 
 
-def labelled_statistics(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The statistics of documents that have a label to learn from; those of the others aren't needed for fitting."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return document_statistics(docs.join(known, "doc_id", "left_semi"))
-
-
 def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, width: float = 1.0) -> Fourier | None:
     """Fit on every labelled row that is not held out; None without both labels.
 
