@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varspan.llm import ann, embed_dedup, mixing, near_dup, packing, preference, quality, secrets, toxicity, warc
+from varspan.llm import ann, embed_dedup, hard_negatives, mixing, near_dup, packing, preference, quality, secrets, toxicity, url_filter, warc, whitening
 from varspan.llm.common import held_out, new_path, table
 
 
@@ -63,6 +63,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, public.path("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened_components(table(spark, sf_dir, "embeddings"), 32)
+    # the exact value where a long can't hold it is the operator's own column
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +86,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_embedding_near_dedup, op2_mix_sources, op3_nearest_neighbours, op4_toxicity, op5_quality_classifier,
-        op6_secret_scan, op7_preference_format, op8_minhash_near_dedup, op9_warc, op10_packing, pipeline,
+        op6_secret_scan, op7_preference_format, op8_minhash_near_dedup, op9_warc, op10_packing, op11_whitening,
+        op12_hard_negatives, op13_url_filter, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -132,4 +147,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_secret_scan": SECRET_SQL,
         "op7_preference_format": preference.PREFERENCE_SQL,
         "op9_warc": WARC_SQL,
+        "op12_hard_negatives": hard_negatives.NEGATIVES_SQL,
+        "op13_url_filter": url_filter.URL_SQL,
     }

@@ -16,6 +16,17 @@ def usable(v: Column) -> Column:
     return F.coalesce(ok & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def finite(v: Column) -> Column:
+    """True for a vector that is not null or empty and has only finite components."""
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def commonest_length(rows: DataFrame) -> int | None:
+    """The length that most vectors ``v`` have, of equally common ones the shortest; None without rows."""
+    top = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    return None if top is None else top["dim"]
+
+
 def matrix(column) -> np.ndarray:
     """A pandas column of equally long arrays as doubles."""
     return np.array(column.tolist(), dtype=np.float64)
