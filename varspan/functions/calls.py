@@ -26,7 +26,7 @@ def reference_reads(depth: Column, support: Column) -> Column:
 def variant_type(op: Column, chrom: Column, start: Column, src_chrom: Column, src_start: Column, src_end: Column, src_strand: Column, min_size: int) -> Column:
     """Type of an event: an insertion with a source is a duplication, a tandem one if the source touches it."""
     back = src_strand == "-"
-    near = (src_chrom == chrom) & ((F.abs(src_start - start) < min_size) | (F.abs(src_end - start) < min_size))
+    near = (src_chrom == chrom) & ((F.abs(src_start - start) <= min_size) | (F.abs(src_end - start) <= min_size))
     dup = F.when(near, F.when(back, "itDUP").otherwise("tDUP")).otherwise(F.when(back, "idDUP").otherwise("dDUP"))
     return F.when(op == "B", "BND").when(op == "D", "DEL").when(op == "V", "INV").when(src_chrom.isNull(), "INS").otherwise(dup)
 

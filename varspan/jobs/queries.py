@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from varspan.functions import calls as C
 from varspan.functions import cigar
+from varspan.jobs import records
 from varspan.jobs.detect import call_reads, call_variants, split_read_events
-from varspan.operators import cluster, compare, depth, kmers, positions, reads, rescue, signatures
+from varspan.operators import cluster, compare, consensus, depth, events, kmers, positions, reads, rescue, signatures
 from varspan.operators.ranges import overlap_join
 from varspan.params import PRESETS
-from varspan.sources import alignments, intervals, vcf
+from varspan.sources import alignments, intervals, reference, vcf
+from varspan.sources.tables import kept
 
 P = PRESETS["hifi"]
 ONE = "*"
@@ -355,7 +357,7 @@ def _with_source(spark, d):
 
 
 TYPE = """CASE WHEN op = 'D' THEN 'DEL' WHEN op = 'V' THEN 'INV' WHEN c2 IS NULL THEN 'INS'
- WHEN c2 = chrom AND (abs(s2 - ref_start) < 50 OR abs(s2 + length - ref_start) < 50) THEN CASE WHEN strand = '-' THEN 'itDUP' ELSE 'tDUP' END
+ WHEN c2 = chrom AND (abs(s2 - ref_start) <= 50 OR abs(s2 + length - ref_start) <= 50) THEN CASE WHEN strand = '-' THEN 'itDUP' ELSE 'tDUP' END
  WHEN strand = '-' THEN 'idDUP' ELSE 'dDUP' END"""
 
 
@@ -472,7 +474,7 @@ def _bnds(spark, d):
     ).distinct()
 
 
-@query(_sql(SIG, BNDS, select="SELECT id, chrom, pos, chrom2, pos2, strand FROM bn x WHERE NOT EXISTS (SELECT 1 FROM bn k WHERE k.id < x.id AND k.strand = x.strand AND k.chrom = x.chrom2 AND k.chrom2 = x.chrom AND abs(k.pos - x.pos2) < 1000 AND abs(k.pos2 - x.pos) < 1000)"))
+@query(_sql(SIG, BNDS, select="SELECT id, chrom, pos, chrom2, pos2, strand FROM bn x WHERE NOT EXISTS (SELECT 1 FROM bn k WHERE k.id < x.id AND k.strand = '-' AND x.strand = '-' AND k.chrom = x.chrom2 AND k.chrom2 = x.chrom AND abs(k.pos - x.pos2) < 1000 AND abs(k.pos2 - x.pos) < 1000)"))
 def q_bnd_dedupe(spark, d):
     return compare.mirrored(_bnds(spark, d), 1000).select("id", "chrom", "pos", "chrom2", "pos2", "strand")
 
@@ -558,32 +560,181 @@ def q_detect(spark, d):
     return call_variants(sig(spark, d), spans(spark, d), P)
 
 
-#: A read for each site of an order: a deletion or insertion in its CIGAR, or an inverted middle part in its tag.
-READS = """ok AS (SELECT sample, chrom, site, op, ref_start, length, read_id, mapq FROM (SELECT sample, chrom, site, op, ref_start, length, read_id, max(mapq) AS mapq FROM sig GROUP BY ALL) WHERE sample <> 'target' OR mapq >= 20),
-span AS (SELECT sample, chrom, concat(CAST(read_id AS string), '/', CAST(site AS string)) AS read_id, CASE WHEN op = 'I' THEN ref_start - 499 ELSE ref_start - 500 END AS lo,
-  CASE WHEN op = 'I' THEN ref_start + 500 ELSE ref_start + length + 499 END AS hi FROM ok)"""
+#: A read for each site of an order. By site they show (kind) 0 a deletion, 1 an insertion, 2 an inversion, 3 a step to chrS, 4 one that turns, seen from either end, a copy of the
+#: bases before 5 forward and 6 reverse, a copy from chrS 7 forward and 8 reverse, 9 a deletion beside an inversion, 10 a turn further along the chromosome.
+READS = """rd0 AS (SELECT sample, chrom, site, ref_start AS r, length AS n, concat(CAST(read_id AS string), '/', CAST(site AS string)) AS read_id, site % 11 AS kind, CASE WHEN site % 11 = 4 THEN ref_start % 2 ELSE 0 END AS form, max(mapq) AS mapq
+  FROM sig GROUP BY ALL),
+rd AS (SELECT * FROM rd0 WHERE sample <> 'target' OR mapq >= 20),
+span AS (SELECT sample, chrom, read_id, CASE WHEN kind IN (1, 3, 4, 7, 8, 10) THEN r - 499 WHEN kind IN (5, 6) THEN r - n - 499 ELSE r - 500 END AS lo,
+    CASE WHEN kind IN (0, 2) THEN r + n + 499 WHEN kind IN (3, 4) THEN r WHEN kind = 9 THEN r + n + 599 WHEN kind = 10 THEN r + n + 1499 ELSE r + 500 END AS hi FROM rd
+  UNION ALL SELECT sample, 'chrS', read_id, r + 700, CASE WHEN kind IN (3, 4) THEN r + 1199 ELSE r + n + 699 END FROM rd WHERE kind IN (3, 4, 7, 8)),
+ce AS (SELECT sample, chrom, site, kind, form, unnest(['start', 'length', 'r', 'after', 'before']) AS f, unnest([CASE WHEN form = 1 THEN r + 1199 ELSE r END, CASE WHEN kind IN (3, 4, 10) THEN 50 ELSE n END, r, r + n, r - n]) AS v FROM rd),
+cn AS (SELECT sample, site, form, f, v, count(*) AS n FROM ce GROUP BY ALL),
+ct AS (SELECT sample, site, form, f, first(v ORDER BY n DESC, v) AS top, max(n) AS n FROM cn GROUP BY ALL),
+cm AS (SELECT sample, chrom, site, kind, form, f, count(*) AS reads, list_sort(list(v))[CAST(floor(count(*) / 2) AS int) + 1] AS mid FROM ce GROUP BY ALL),
+cv AS (SELECT sample, chrom, site, kind, form, any_value(reads) AS support, max(CASE WHEN f = 'start' THEN CASE WHEN n >= 5 THEN top ELSE mid END END) AS s, max(CASE WHEN f = 'length' THEN CASE WHEN n >= 5 THEN top ELSE mid END END) AS l,
+  max(CASE WHEN f = 'after' THEN CASE WHEN n >= 5 THEN top ELSE mid END END) AS sb, max(CASE WHEN f = 'r' THEN top END) AS tr, max(CASE WHEN f = 'after' THEN top END) AS ta, max(CASE WHEN f = 'before' THEN top END) AS tb FROM cm JOIN ct USING (sample, site, form, f) GROUP BY ALL),
+k0 AS (SELECT sample, site, kind, form, support, CASE WHEN form = 1 THEN 'chrS' ELSE chrom END AS chrom, ['D', 'I', 'V', 'B', 'B', 'I', 'I', 'I', 'I', 'D+V', 'B'][kind + 1] AS op, ['DEL', 'INS', 'INV', 'BND', 'BND', 'tDUP', 'itDUP', 'dDUP', 'idDUP', 'DEL+INV', 'BND'][kind + 1] AS type,
+  s AS start, sb, l, CASE WHEN kind IN (0, 2) THEN s + l WHEN kind = 9 THEN greatest(s + l, sb + 100) ELSE s END AS "end", CASE WHEN kind = 9 THEN l + 100 ELSE l END AS length,
+  CASE WHEN kind IN (3, 7, 8) OR (kind = 4 AND form = 0) THEN 'chrS' ELSE chrom END AS c2, CASE WHEN form = 1 THEN tr WHEN kind IN (3, 7, 8) THEN tr + 700 WHEN kind = 4 THEN tr + 1199 WHEN kind = 10 THEN ta + 1499 ELSE tb + 1 END AS s2, CASE WHEN kind IN (7, 8) THEN ta + 699 ELSE tr END AS e2 FROM cv),
+k1 AS (SELECT *, kind BETWEEN 5 AND 8 AS dup FROM k0 WHERE CASE WHEN op = 'B' THEN support >= 5 WHEN sample = 'target' THEN support >= 5 AND length BETWEEN 50 AND 50000 ELSE length BETWEEN 30 AND 50000 END),
+pa AS (SELECT sample, site, form, chrom, start AS at, support FROM k1 UNION ALL SELECT sample, site, form, chrom, sb, support FROM k1 WHERE kind = 9),
+pd AS (SELECT p.sample, p.site, p.form, p.at, any_value(p.support) AS support, coalesce(max(s.depth), 0) AS depth FROM pa p LEFT JOIN seg s ON s.sample = p.sample AND s.chrom = p.chrom AND s.lo <= p.at + 4 AND s.hi >= p.at - 5 GROUP BY ALL),
+pv AS (SELECT sample, site, form, CAST(floor(avg(depth)) AS bigint) AS depth, CAST(printf('%.2f', avg(CASE WHEN depth > 0 THEN CAST(printf('%.2f', least(1.0::double, support::double / depth)) AS double) ELSE 1.0 END)) AS double) AS vaf FROM pd GROUP BY ALL),
+k2 AS (SELECT *, (length + 1) * 7 // 10 AS e, CASE WHEN kind IN (5, 6) THEN least(start, s2) WHEN kind IN (7, 8) THEN 0 ELSE start END AS lo2, CASE WHEN kind IN (5, 6) THEN greatest(start, e2) WHEN kind IN (7, 8) THEN 9999999 ELSE "end" END AS hi2 FROM k1 JOIN pv USING (sample, site, form)),
+k3 AS (SELECT *, least(start - e, lo2) AS x1, greatest("end" + e, hi2) AS x2 FROM k2),
+k4 AS (SELECT *, start - x1 AS fl, x2 - "end" AS fr FROM k3),
+cr AS (SELECT *, CASE WHEN type LIKE '%+%' OR type IN ('itDUP', 'idDUP') THEN 'CSV' ELSE 'SV' END AS class, CASE WHEN vaf >= 0.8 THEN '1/1' WHEN vaf >= 0.2 THEN '0/1' ELSE '0/0' END AS gt,
+  x1 - CASE WHEN fl > 0 AND fr / fl::double > 5 THEN CAST(round_even(fr / fl::double / 5, 0) * fl AS bigint) ELSE 0 END AS "left", x2 + CASE WHEN fr > 0 AND fl / fr::double > 5 THEN CAST(round_even(fl / fr::double / 5, 0) * fr AS bigint) ELSE 0 END AS "right",
+  CASE WHEN kind = 9 THEN concat_ws('++', 'DEL', l, chrom, start, start + l, start) || ',' || concat_ws('++', 'INV', 100, chrom, sb, sb + 100, sb) WHEN dup THEN concat_ws('++', type, l, c2, s2, e2, start) ELSE concat_ws('++', type, l, chrom, start, "end", start) END AS bkps,
+  CASE WHEN kind = 3 THEN concat('[chrS:', s2, '[N') WHEN op = 'B' THEN concat(']', c2, ':', s2, ']N') END AS alt FROM k4)"""
+
+
+def _reads_sql() -> tuple[str, str, str]:
+    """READS with the depth segments of its spans between."""
+    head, _, tail = READS.partition("ce AS (")
+    return head.rstrip().rstrip(","), SEG, "ce AS (" + tail
 
 
 def reads_of_sites(spark, d):
-    r = sig(spark, d).groupBy("sample", "chrom", "site", "op", "ref_start", "length", "read_id").agg(F.max("mapq").alias("mapq"))
-    n, c, at, op = F.col("length").cast("string"), F.col, F.col("ref_start"), F.col("op")
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    middle = F.concat_ws(",", "chrom", at.cast("string"), F.lit("-"), text("500S", n, "M500S"), c("mapq").cast("string"), F.lit("0"))
-    last = F.concat_ws(",", "chrom", (at + c("length")).cast("string"), F.lit("+"), text((c("length") + 500).cast("string"), "S500M"), c("mapq").cast("string"), F.lit("0"))
-    return r.select(
-        "sample", F.concat_ws("/", c("read_id").cast("string"), c("site").cast("string")).alias("read_id"), F.lit(0).alias("flag"), "chrom",
-        F.when(op == "I", at - 499).otherwise(at - 500).alias("ref_start"), F.when(op == "V", at - 1).when(op == "I", at + 500).otherwise(at + c("length") + 499).alias("ref_end"), "mapq",
-        F.when(op == "V", text("500M", (c("length") + 500).cast("string"), "S")).otherwise(text("500M", n, op, F.when(op == "I", "501M").otherwise("500M"))).alias("cigar"),
-        F.when(op == "V", text(middle, ";", last, ";")).alias("sa"),
+    x = sig(spark, d).groupBy("sample", "chrom", "site", "ref_start", "length", "read_id").agg(F.max("mapq").alias("mapq"))
+    kind = F.col("site") % 11
+    x = x.withColumns({"kind": F.when((kind == 4) & (F.col("ref_start") % 2 == 1), 11).otherwise(kind), "r": F.col("ref_start"), "n": F.col("length")})
+
+    def other(chrom, at, strand, cigar_):
+        text = [t if isinstance(t, str) else t.cast("string") for t in cigar_]
+        return F.concat_ws(",", F.lit("chrS") if chrom == "chrS" else F.col(chrom), at.cast("string"), F.lit(strand), F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]), F.col("mapq").cast("string"), F.lit("0"))
+
+    r, n = F.col("r"), F.col("n")
+    behind = (n + 500, "S500M")
+    # start, CIGAR, and the other alignments of a read of each kind
+    shapes = {
+        0: (r - 500, ("500M", n, "D500M"), []), 1: (r - 499, ("500M", n, "I500M"), []), 2: (r - 500, ("500M", n + 500, "S"), [("chrom", r, "-", ("500S", n, "M500S")), ("chrom", r + n, "+", behind)]),
+        3: (r - 499, ("500M500S",), [("chrS", r + 700, "+", ("500S500M",))]), 4: (r - 499, ("500M500S",), [("chrS", r + 700, "-", ("500M500S",))]),
+        5: (r - n - 499, (n + 500, "M", n + 500, "S"), [("chrom", r - n + 1, "+", (n + 500, "S", n + 500, "M"))]),
+        6: (r - n - 499, (n + 500, "M", n + 500, "S"), [("chrom", r - n + 1, "-", ("500S", n, "M", n + 500, "S")), ("chrom", r + 1, "+", (n * 2 + 500, "S500M"))]),
+        7: (r - 499, ("500M", n + 500, "S"), [("chrS", r + 700, "+", ("500S", n, "M500S")), ("chrom", r + 1, "+", behind)]),
+        8: (r - 499, ("500M", n + 500, "S"), [("chrS", r + 700, "-", ("500S", n, "M500S")), ("chrom", r + 1, "+", behind)]),
+        9: (r - 500, ("500M600S",), [("chrom", r + n, "-", ("500S100M500S",)), ("chrom", r + n + 100, "+", ("600S500M",))]),
+        10: (r - 499, ("500M500S",), [("chrom", r + n + 1000, "-", ("500M500S",))]),
+        11: (r + 700, ("500M500S",), [("chrom", r - 499, "-", ("500M500S",))]),
+    }
+
+    def chosen(of, end):
+        out = F.lit(None)
+        for k, shape in shapes.items():
+            out = F.when(F.col("kind") == k, of(shape)).otherwise(out)
+        return out.alias(end)
+
+    joined = lambda cells: F.concat(*[F.lit(c) if isinstance(c, str) else c.cast("string") for c in cells])
+    x = x.select(
+        "sample", F.concat_ws("/", F.col("read_id").cast("string"), F.col("site").cast("string")).alias("read_id"), F.lit(0).alias("flag"), F.when(F.col("kind") == 11, "chrS").otherwise(F.col("chrom")).alias("chrom"), "mapq",
+        chosen(lambda s: s[0], "ref_start"), chosen(lambda s: joined(s[1]), "cigar"), chosen(lambda s: F.concat_ws(";", *[other(*o) for o in s[2]], F.lit("")) if s[2] else F.lit(None), "sa"),
     )
+    return x.withColumn("ref_end", F.col("ref_start") + cigar.ref_span(cigar.tokens(F.col("cigar"))) - 1)
 
 
-@query(_sql(SIG, READS, SITE, SEG, CALLED, select=f'SELECT sample, chrom, op, start, "end", length, support, depth, vaf, {GT.format("vaf")} AS gt, \'PASS\' AS filter, start - (length + 1) * 7 // 10 AS "left", "end" + (length + 1) * 7 // 10 AS "right" FROM called'))
-def q_detect_reads(spark, d):
-    x = reads_of_sites(spark, d)
+def called_reads(spark, d):
+    x = kept(reads_of_sites(spark, d))
     return call_reads(x, x.select("chrom").distinct(), P)
 
 
+@query(_sql(SIG, *_reads_sql(), select='SELECT sample, chrom, type, class, op, start, "end", length, support, depth, vaf, gt, \'PASS\' AS filter, "left", "right", bkps, alt FROM cr'))
+def q_detect_reads(spark, d):
+    return called_reads(spark, d).select("sample", "chrom", "type", "class", "op", "start", "end", "length", "support", "depth", "vaf", "gt", "filter", "left", "right", "bkps", "alt")
+
+
+#: Of a step seen from either end the record on chrS goes; a turn along the chromosome is a large inversion.
+RECORDS = """nm AS (SELECT sample, site, form, string_agg(DISTINCT read_id, ',' ORDER BY read_id) AS names FROM rd GROUP BY ALL),
+tg AS (SELECT * FROM cr JOIN nm USING (sample, site, form) WHERE sample = 'target' AND NOT (form = 1 AND site IN (SELECT site FROM cr WHERE sample = 'target' AND kind = 4 AND form = 0))),
+ls AS (SELECT tg.*, CASE WHEN b.site IS NULL THEN 'NewCOMP' WHEN b.vaf = 0 THEN 'NewCOMP' WHEN abs(tg.vaf - b.vaf) >= 0.3 THEN 'NewALLELE' ELSE 'Germline' END AS label, coalesce(b.vaf, 0.0) AS bv, b.depth AS bd, b.support AS bs FROM tg LEFT JOIN (SELECT * FROM cr WHERE sample = 'base') b ON b.site = tg.site AND b.form = tg.form),
+rx AS (SELECT *, kind = 10 AS large, CASE WHEN kind = 10 THEN 1 WHEN op = 'B' THEN 2 ELSE 0 END AS rank, CASE WHEN kind = 10 THEN least(start, s2) WHEN kind IN (5, 6) THEN least(s2, e2, start) ELSE start END AS pos,
+  CASE WHEN kind = 10 THEN greatest(start, s2) WHEN kind IN (5, 6) THEN greatest(s2, e2, start) ELSE "end" END AS stop, abs(start - s2) AS far FROM ls),
+ry AS (SELECT *, row_number() OVER (ORDER BY rank, chrom, start, stop, site) - 1 AS number FROM rx)"""
+LINE = """concat_ws(chr(9), chrom, pos, number, 'N', CASE WHEN large THEN 'SV' WHEN op = 'B' THEN alt ELSE class END, '.', 'PASS', concat_ws(';', 'END=' || stop, 'SVLEN=' || CASE WHEN large THEN far WHEN op = 'B' THEN NULL ELSE length END,
+  'SVTYPE=' || CASE WHEN large THEN 'INV' ELSE type END, 'SUPPORT=' || support, 'VAF=' || vaf, 'BKPS=' || CASE WHEN large THEN concat_ws('_', 'INV', far, chrom, pos, stop, stop) WHEN op = 'B' THEN NULL ELSE replace(bkps, '++', '_') END,
+  'BKPSIT=' || array_to_string(list_transform(string_split(type, '+'), lambda k: concat(k, '_', label)), ','), 'RNAMES=' || names), 'GT:DR:DV', concat_ws(':', gt, greatest(depth - support, 0), support),
+  concat_ws(':', CASE WHEN label = 'Germline' THEN gt WHEN bv >= 0.8 THEN '1/1' WHEN bv >= 0.2 THEN '0/1' ELSE '0/0' END, CASE WHEN bs IS NULL THEN 'NA' ELSE CAST(greatest(bd - bs, 0) AS string) END, coalesce(CAST(bs AS string), 'NA')))"""
+
+
+@query(_sql(SIG, *_reads_sql(), RECORDS, select=f"SELECT number, rank, chrom, pos, {LINE} AS line FROM ry"))
+def q_records(spark, d):
+    return records.record_lines(called_reads(spark, d), ["base"], P)
+
+
+#: Two reads of three of a site see a deletion and an inversion, or as often an insertion, of which some know the source, and an inversion.
+PARTSQL = """ev AS (SELECT concat(sample, '/', CAST(site AS string)) AS pid, chrom, ref_start AS s, length AS n, read_id, CASE WHEN read_id % 2 = 0 THEN 'D+V' WHEN read_id % 5 = 1 THEN 'I+V+D' ELSE 'I+V' END AS op, 1 + read_id % 3 AS w, read_id % 4 = 1 AS copy FROM sig),
+pt AS (SELECT pid, op, w, 0 AS i, substr(op, 1, 1) AS pop, chrom, s, n, copy AND op <> 'D+V' AS copy, CASE WHEN copy AND op <> 'D+V' THEN 'chrS' END AS c2, CASE WHEN copy AND op <> 'D+V' THEN s + 9 END AS s2, CASE WHEN copy AND op <> 'D+V' THEN s + n + 8 END AS e2, CASE WHEN copy AND op <> 'D+V' THEN '-' END AS t2 FROM ev
+  UNION ALL SELECT pid, op, w, 1, 'V', chrom, s + n, 100 + n % 3, false, NULL, NULL, NULL, NULL FROM ev UNION ALL SELECT pid, op, w, 2, 'D', chrom, s + n + 300, n, false, NULL, NULL, NULL, NULL FROM ev WHERE op = 'I+V+D'),
+bo AS (SELECT pid, first(op ORDER BY n DESC, op) AS op FROM (SELECT pid, op, sum(w) AS n FROM pt WHERE i = 0 GROUP BY ALL) GROUP BY pid),
+po AS (SELECT pt.* FROM pt JOIN bo USING (pid, op)),
+pf AS (SELECT pid, i, any_value(pop) OVER (PARTITION BY pid, i) AS pop, w, unnest(['s', 'n', 's2', 'e2', 'copy', 'c2', 't2']) AS f, unnest([s, n, s2, e2, NULL, NULL, NULL]) AS num, unnest([NULL, NULL, NULL, NULL, CASE WHEN pop = 'I' THEN CASE WHEN copy THEN 'a copy' ELSE 'no' END END, c2, t2]) AS txt FROM po),
+pn AS (SELECT pid, i, pop, f, num, txt, CAST(sum(w) AS bigint) AS n FROM pf WHERE num IS NOT NULL OR txt IS NOT NULL GROUP BY ALL),
+pq AS (SELECT *, sum(n) OVER (PARTITION BY pid, i, f ORDER BY num, txt) AS upto, sum(n) OVER (PARTITION BY pid, i, f) AS every FROM pn),
+px AS (SELECT pid, i, pop, f, first(num ORDER BY n DESC, num) AS top, max(n) AS most, first(txt ORDER BY n DESC, txt) AS txt, min(CASE WHEN upto > floor(every / 2) THEN num END) AS mid FROM pq GROUP BY ALL),
+py AS (SELECT pid, i, pop, max(CASE WHEN f = 's' THEN CASE WHEN most >= 5 THEN top ELSE mid END END) AS s, max(CASE WHEN f = 'n' THEN CASE WHEN most >= 5 THEN top ELSE mid END END) AS n, max(CASE WHEN f = 's2' THEN top END) AS s2, max(CASE WHEN f = 'e2' THEN top END) AS e2,
+  coalesce(max(CASE WHEN f = 'copy' THEN txt END) = 'a copy', false) AS copy, max(CASE WHEN f = 'c2' THEN txt END) AS c2, max(CASE WHEN f = 't2' THEN txt END) AS t2 FROM px GROUP BY ALL)"""
+
+
+@query(_sql(SIG, PARTSQL, select='SELECT pid, CAST(i AS int) AS i, pop AS op, s AS start, CASE WHEN pop = \'I\' THEN s ELSE s + n END AS "end", n AS length, CASE WHEN copy THEN c2 END AS chrom2, CASE WHEN copy THEN s2 END AS start2, CASE WHEN copy THEN e2 END AS end2, CASE WHEN copy THEN t2 END AS strand2 FROM py'))
+def q_consensus_parts(spark, d):
+    r, s, n = F.col("read_id"), F.col("ref_start"), F.col("length")
+    turned = events.part("V", F.col("chrom"), s + n, s + n + 100 + n % 3, 100 + n % 3)
+    copy = events.part("I", F.col("chrom"), s, s, n, "+", (F.lit("chrS"), s + 9, s + n + 8, F.lit("-")))
+    fresh = events.part("I", F.col("chrom"), s, s, n)
+    gone = lambda at: events.part("D", F.col("chrom"), at, at + n, n)
+    first = F.when(r % 4 == 1, copy).otherwise(fresh)
+    parts = F.when(r % 2 == 0, F.array(gone(s), turned)).when(r % 5 == 1, F.array(first, turned, gone(s + n + 300))).otherwise(F.array(first, turned))
+    op = F.when(r % 2 == 0, "D+V").when(r % 5 == 1, "I+V+D").otherwise("I+V")
+    x = sig(spark, d).select(F.concat_ws("/", "sample", F.col("site").cast("string")).alias("pid"), op.alias("op"), parts.alias("parts"), (1 + r % 3).alias("support"))
+    x = consensus.consensus_parts(x, P).select("pid", F.posexplode("parts").alias("i", "e"))
+    return x.select("pid", "i", "e.op", F.col("e.ref_start").alias("start"), F.col("e.ref_end").alias("end"), "e.length", "e.chrom2", "e.start2", "e.end2", "e.strand2")
+
+
+#: Each document as a chromosome, what is no letter or blank unknown.
+CHROMS = "ch AS (SELECT CAST(doc_id AS string) AS chrom, regexp_replace(text, '[^A-Za-z ]', 'N', 'g') AS b, length(text) AS n, doc_id FROM documents WHERE length(text) > 0)"
+
+
+def _chromosomes(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet").where(F.length("text") > 0)
+    return t.select(F.col("doc_id").cast("string").alias("chrom"), F.regexp_replace("text", "[^A-Za-z ]", "N").alias("bases"), F.length("text").alias("n"))
+
+
+@query(_sql(CHROMS, select="SELECT chrom, k, md5(substr(b, CAST(greatest(1, lo) AS bigint), CAST(greatest(0, hi - greatest(1, lo) + 1) AS bigint))) AS bases FROM (SELECT *, unnest([0, 1, 2]) AS k, unnest([-20, n // 3, n - 5]) AS lo, unnest([30, n // 3 + 1500, n + 5]) AS hi FROM ch)"))
+def q_fetch(spark, d):
+    c, n = _chromosomes(spark, d), F.col("n").cast("long")
+    third = F.floor(n / 3)
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")) for k, (lo, hi) in enumerate(((F.lit(-20), F.lit(30)), (third, third + 1500), (n - 5, n + 5)))])
+    ranges = c.select("chrom", F.explode(spans).alias("r")).select(F.concat_ws("|", "chrom", F.col("r.k").cast("string")).alias("id"), "chrom", "r.k", "r.lo", "r.hi")
+    return reference.fetched(ranges, reference.chunks_of(c, 512), 512).select("chrom", "k", F.md5("bases").alias("bases"))
+
+
+@query(_sql(CHROMS, select="SELECT chrom, 0 AS start, n AS \"end\" FROM ch WHERE doc_id IN (SELECT doc_id FROM labels)"))
+def q_chrom_intervals(spark, d):
+    seen = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").cast("string").alias("chrom"))
+    return reference.whole_chromosomes(reference.chunks_of(_chromosomes(spark, d), 512), seen, 512)
+
+
+@query(_sql(CHROMS, select="SELECT chrom, op, count(*) AS n, CAST(sum(pos) AS bigint) AS at FROM (SELECT chrom, unnest(string_split(substr(b, CAST(n // 4 + 1 AS bigint), CAST(n // 4 + 1 AS bigint)), '')) AS op, n // 4 + 1 + unnest(range(CAST(n // 4 + 1 AS bigint))) AS pos FROM ch) WHERE op <> '' AND op <> ' ' GROUP BY ALL"))
+def q_ref_map(spark, d):
+    c = _chromosomes(spark, d)
+    quarter = F.floor(F.col("n") / 4)
+    ranges = c.select(F.col("chrom").alias("id"), "chrom", (quarter + 1).alias("lo"), (2 * quarter + 1).alias("hi"))
+    runs = positions.reference_map(ranges, reference.chunks_of(c, 512), 512)
+    n = F.col("hi") - F.col("lo") + 1
+    return runs.where("op <> ' ' and pct = 100").groupBy("chrom", "op").agg(F.sum(n).alias("n"), F.sum(n * (F.col("lo") + F.col("hi")) / 2).cast("long").alias("at"))
+
+
+@query("""WITH b AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', 'N', 'g') AS b, length(text) // 2 AS pos FROM documents WHERE length(text) > 0)
+SELECT doc_id FROM b WHERE NOT contains(substring(b, CAST(greatest(1, pos - 999) AS bigint), CAST(pos + 1000 - greatest(0, pos - 1000) AS bigint)), 'NNNNN') AND NOT contains(substring(b, CAST(pos AS bigint), CASE WHEN pos = 0 THEN 1199 ELSE 1200 END), 'NNNNN')""")
+def q_n_windows(spark, d):
+    c = _chromosomes(spark, d)
+    at = F.floor(F.col("n") / 2)
+    gone = events.part("D", F.col("chrom"), at, at + 1199, 1199)
+    calls_ = c.select(F.col("chrom").alias("pid"), "chrom", F.lit("D").alias("op"), at.alias("ref_start"), F.array(gone).alias("parts"))
+    return reference.without_unknown(calls_, reference.chunks_of(c), P).select(F.col("pid").cast("long").alias("doc_id"))
+
+
 @query(_sql(SIG, SPAN, SEG, "wn AS (SELECT sample, chrom, ref_start // 5000 AS win, op, count(DISTINCT read_id) AS reads FROM sig GROUP BY ALL)", select="SELECT sample, chrom, win, first(op ORDER BY reads DESC, CASE op WHEN 'I' THEN 1 WHEN 'D' THEN 2 ELSE 3 END) AS op, max(reads) AS reads FROM wn GROUP BY ALL"))
 def q_top_op(spark, d):
     n = sig(spark, d).groupBy("sample", "chrom", F.floor(F.col("ref_start") / 5000).alias("win"), "op").agg(F.countDistinct("read_id").alias("reads"))
@@ -656,7 +807,7 @@ def _anchored(spark, d):
 
 @query(_sql(AL, GAP, PARTS, select="SELECT read_id, first(chrom ORDER BY k) AS chrom, string_agg(op, '+' ORDER BY k) AS op, count(*) AS n_parts, min(ref_start) AS ref_start, max(ref_end) AS ref_end, CAST(sum(length) AS bigint) AS length, g IN ('<', '>') AS uncovered FROM pe GROUP BY read_id, g"))
 def q_inter_signatures(spark, d):
-    return reads.between_anchors(_anchored(spark, d)[1], P)
+    return reads.between_anchors(_anchored(spark, d)[1], P).drop("parts")
 
 
 @query(_sql(AL, f"""x AS (SELECT read_id, aln_id, chrom, CASE WHEN strand = '+' THEN ref_end ELSE ref_start END AS pos, lead(chrom) OVER w AS chrom2, CASE WHEN lead(strand) OVER w = '+' THEN lead(ref_start) OVER w ELSE lead(ref_end) OVER w END AS pos2,
@@ -691,7 +842,7 @@ def q_resolve_on_ref(spark, d):
 
 @query()
 def q_split_read_events(spark, d):
-    return split_read_events(_near(spark, d), P)
+    return split_read_events(_near(spark, d), P).drop("parts")
 
 
 @query(_sql(SIG, SRC, """g AS (SELECT read_id, first(ref_start ORDER BY ref_start, chrom) AS st, first(chrom ORDER BY ref_start, chrom) AS ch, count(*) AS n, bool_and(op = 'I') AS ins, CAST(sum(length) AS bigint) AS total FROM src GROUP BY read_id),

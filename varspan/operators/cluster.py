@@ -49,11 +49,16 @@ def greedy(starts, lengths, ops, support, ratio: float, near: int, mates=None) -
     Ops don't split clusters, but for insertions against deletions. Clusters are looked up by the
     stretch of ``near`` positions in which they stand, so a long island costs what its neighbours are.
     """
+    return _grouped(starts, lengths, ops, support, ratio, near, mates)[0]
+
+
+def _grouped(starts, lengths, ops, support, ratio: float, near: int, mates=None) -> tuple[list[int], list[_Cluster], set[int]]:
+    """Cluster of each signature, the clusters, and the signature that began each."""
     mates = mates or [None] * len(starts)
     order = sorted(range(len(starts)), key=lambda k: (-support[k], starts[k], ops[k], lengths[k], mates[k] or ("", 0)))
     clusters: list[_Cluster] = []
     at: dict[int, list[int]] = defaultdict(list)
-    out = [0] * len(starts)
+    out, leads = [0] * len(starts), set()
     for k in order:
         best, chosen = -1.0, -1
         stretch = starts[k] // (near + 1)
@@ -64,6 +69,7 @@ def greedy(starts, lengths, ops, support, ratio: float, near: int, mates=None) -
         if chosen < 0:
             chosen = len(clusters)
             clusters.append(_Cluster(ops[k], mates[k]))
+            leads.add(k)
             before = None
         else:
             before = clusters[chosen].start // (near + 1)
@@ -74,12 +80,14 @@ def greedy(starts, lengths, ops, support, ratio: float, near: int, mates=None) -
                 at[before].remove(chosen)
             insort(at[now], chosen)
         out[k] = chosen
-    return out
+    return out, clusters, leads
 
 
 def coarse_clusters(collapsed: DataFrame, p: Params) -> DataFrame:
     """Collapsed signatures (sample, chrom, op, ref_start, length, support, and for breakends chrom2, pos2) with ``island`` and ``cluster``.
 
+    at_start, at_length and at_op say where the cluster stands in the end, lead which signature began it.
+
     A cluster stands at a member's start and takes what is at most ``near`` away, so it can't span
     a gap of more: islands of starts are clustered apart. Islands that begin in one tile of a
     chromosome share a call, so calls are few and a hot chromosome is many of them. An island is in
@@ -95,12 +103,13 @@ def coarse_clusters(collapsed: DataFrame, p: Params) -> DataFrame:
         island, out, lo = pdf["island"].tolist(), [], 0
         while lo < len(island):
             hi = bisect_left(island, island[lo] + 1, lo)
-            out += greedy(*[c[lo:hi] for c in columns], p.size_ratio, p.near, mates[lo:hi])
+            of, made, leads = _grouped(*[c[lo:hi] for c in columns], p.size_ratio, p.near, mates[lo:hi])
+            out += [(g, made[g].start, made[g].length, made[g].op, k in leads) for k, g in enumerate(of)]
             lo = hi
-        return pdf.assign(cluster=out)
+        return pdf.assign(**dict(zip(("cluster", "at_start", "at_length", "at_op", "lead"), zip(*out, strict=True), strict=True)))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema)
-    return spread.groupBy("sample", "chrom", "_tile").applyInPandas(run, kinds + ", cluster int").drop("_tile")
+    return spread.groupBy("sample", "chrom", "_tile").applyInPandas(run, kinds + ", cluster int, at_start long, at_length long, at_op string, lead boolean").drop("_tile")
 
 
 def upper_median(column: str):

@@ -22,11 +22,17 @@ class Params:
     short_slack: int = 20
     vote: int = 5
     poly_bin: int = 200
+    # switches
+    skip_bnd: bool = False
+    skip_nearby: bool = False
+    skip_coverage_filter: bool = False
+    rescue_large: bool = False
+    rescue_uncovered: bool = True
 
 
 # fixed values: what a read type changes
 PRESETS = {
     "hifi": Params(),
     "error-prone": replace(Params(), size_ratio=0.7, mismatch=0.15),
-    "asm": replace(Params(), size_ratio=0.6, mismatch=1.0, min_support=1),
+    "asm": replace(Params(), size_ratio=0.6, mismatch=1.0, min_support=1, rescue_uncovered=False),
 }
