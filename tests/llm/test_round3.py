@@ -208,3 +208,32 @@ def test_op13_sql(spark, tmp_path):
     got = url_filter.judge_urls(spark.read.parquet(str(tmp_path / "pages"))).select("page_id", "host", "path", "rule", "verdict")
     assert sorted(tuple(r) for r in got.collect()) == want
     assert {v for *_, rule, v in want if rule is None} == {"allow", "block"}
+
+
+def test_op8_pairs_of_large_groups(spark, monkeypatch):
+    """Near copies of one text, and texts that share a long passage: few pairs are aligned, and near copies are one class."""
+    import random
+
+    from varspan.llm import near_dup
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    some = lambda k: rng.choices(words, [1 / (i + 1) ** 0.8 for i in range(3000)], k=k)
+    base, passage, n, texts = some(180), some(120), 400, []
+    for _ in range(n):
+        text = list(base)
+        for k in rng.sample(range(180), rng.randint(8, 24)):
+            text[k] = some(1)[0]
+        texts.append(text)
+    for _ in range(n):
+        own = some(60)
+        texts.append(own[:30] + passage + own[30:])
+    seen, real = [], near_dup._verified
+
+    def counted(pairs, words, similarity):
+        seen.append(pairs.count())
+        return real(pairs, words, similarity)
+
+    monkeypatch.setattr(near_dup, "_verified", counted)
+    out = near_dup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sum(seen) < 8 * n and {r.class_id for r in out if r.doc_id < n} == {0} and len({r.class_id for r in out}) == n + 1

@@ -8,7 +8,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varspan.llm.common import bound_batches, forget, save
@@ -20,8 +20,10 @@ K, MINIMA, SKETCHES, SIMILARITY = 2, 3, 56, 0.8
 SHORT = ((12, 3), (50, 5))
 #: Words of the k-mers that chain an alignment.
 CHAIN = 3
-#: Counts that a text's words are dealt to: the first that has one for every WORDS_A_BIN words or more.
-BINS, WORDS_A_BIN = (128, 512, 2048, 8192), 4
+#: Counts that a text's words are dealt to: (most words, counts), four for each word or more. Longer texts have LONG counts, made where they are read.
+BINS, LONG = ((256, 1024), (1024, 4096), (4096, 16384)), 8192
+#: Counts are compared as sums of so many first, which rules most pairs out.
+COARSE = 8
 #: Rows of a block, and pairs that are compared at once.
 BLOCK, AT_ONCE = 2048, 200_000
 #: Likest partners of a row that are aligned before the others.
@@ -123,9 +125,17 @@ def sketch_all(ws: list[np.ndarray], k: int, minima: int, sketches: int) -> np.n
 
 
 def histogram(w: np.ndarray) -> bytes:
-    """Counts of the words by hash, 255 at most. An edit moves two counts by one, and a bound on counts only lowers their difference."""
-    bins = next((b for b in BINS if b * WORDS_A_BIN >= len(w)), BINS[-1])
-    return np.minimum(np.bincount(w % bins, minlength=bins), 255).astype(np.uint8).tobytes()
+    """What counts of a text's words are made from: 16 bits of each word, or of long texts the counts. No count is above 255.
+
+    An edit moves two counts by one, and a bound on counts only lowers their difference.
+    """
+    if len(w) <= BINS[-1][0]:
+        return w.astype(np.uint16).tobytes()
+    return _counts(w, LONG).tobytes()
+
+
+def _counts(w: np.ndarray, bins: int) -> np.ndarray:
+    return np.minimum(np.bincount(w % bins, minlength=bins), 255).astype(np.uint8)
 
 
 def sketches_all(ws: list[np.ndarray], k: int, minima: int, sketches: int, similarity: float) -> list[np.ndarray]:
@@ -146,20 +156,24 @@ def sketches_of(w: np.ndarray, k: int, minima: int, sketches: int, similarity: f
 
 
 class _Facts:
-    """Lengths and histograms of texts, and whether they allow a link."""
+    """Lengths and counts of words of texts, and whether they allow a link."""
 
     def __init__(self, n: np.ndarray, hist: list[bytes]):
-        size = np.array([len(h) for h in hist], dtype=np.int64)
-        self.n, self.kind, self.at, self.of = n.astype(np.int64), size, np.zeros(len(hist), dtype=np.int64), {}
-        for b in np.unique(size).tolist():
-            own = np.flatnonzero(size == b)
+        self.n = n.astype(np.int64)
+        size = [next((b for most, b in BINS if x <= most), LONG) for x in self.n.tolist()]
+        self.kind, self.at, self.of = np.array(size, dtype=np.int64), np.zeros(len(hist), dtype=np.int64), {}
+        for b in np.unique(self.kind).tolist():
+            own = np.flatnonzero(self.kind == b)
             self.at[own] = np.arange(len(own))
-            self.of[b] = np.frombuffer(b"".join(hist[i] for i in own), dtype=np.uint8).reshape(-1, b)
+            self.of[b] = np.stack([np.frombuffer(hist[i], dtype=np.uint8) if b == LONG else _counts(np.frombuffer(hist[i], dtype=np.uint16), b) for i in own])
+        self.coarse = {b: self._folded(x, b // COARSE) for b, x in self.of.items()}
 
-    def rows(self, i: np.ndarray, kind: int, bins: int) -> np.ndarray:
-        """Histograms of texts of one kind; counts that share a place modulo ``bins`` are added up."""
-        x = self.of[kind][self.at[i]]
-        return x if kind == bins else np.minimum(x.reshape(len(x), kind // bins, bins).sum(axis=1, dtype=np.int32), 255).astype(np.uint8)
+    @staticmethod
+    def _folded(x: np.ndarray, bins: int) -> np.ndarray:
+        """Counts that share a place modulo ``bins``, added up."""
+        if x.shape[1] == bins:
+            return x
+        return np.minimum(x.reshape(len(x), -1, bins).sum(axis=1, dtype=np.int32), 255).astype(np.uint8)
 
     def may_link(self, i: np.ndarray, other: "_Facts", j: np.ndarray, similarity: float) -> np.ndarray:
         """False only where the edit distance is surely too great."""
@@ -170,17 +184,23 @@ class _Facts:
         n, m = self.n[i], other.n[j]
         most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
         room = 2 * most - np.abs(n - m)
-        out = np.where(np.abs(n - m) <= most, 0, -1)
+        fits = np.abs(n - m) <= most
         found = np.full(len(i), -1, dtype=np.int64)
         for x in self.of:
             for y in other.of:
-                own = np.flatnonzero((out == 0) & (self.kind[i] == x) & (other.kind[j] == y))
-                bins, step = min(x, y), max(1, (8 << 20) // max(x, y))
-                for lo in range(0, len(own), step):
-                    k = own[lo : lo + step]
-                    a, b = self.rows(i[k], x, bins), other.rows(j[k], y, bins)
-                    differ = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32)
-                    found[k] = np.where(differ <= room[k], differ, -1)
+                left = np.flatnonzero(fits & (self.kind[i] == x) & (other.kind[j] == y))
+                # the sums first, the counts themselves for what they leave
+                for mine, theirs, bins in ((self.coarse[x], other.coarse[y], min(x, y) // COARSE), (self.of[x], other.of[y], min(x, y))):
+                    keep, step = [], max(1, (4 << 20) // max(mine.shape[1], theirs.shape[1]))
+                    for lo in range(0, len(left), step):
+                        k = left[lo : lo + step]
+                        a, b = self._folded(mine[self.at[i[k]]], bins), self._folded(theirs[other.at[j[k]]], bins)
+                        differ = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32)
+                        ok = differ <= room[k]
+                        keep.append(k[ok])
+                        if bins == min(x, y):
+                            found[k[ok]] = differ[ok]
+                    left = np.concatenate(keep) if keep else left
         return found
 
 
@@ -370,8 +390,16 @@ def _windows(n: np.ndarray, m: np.ndarray, similarity: float, rising: bool):
         lo = hi
 
 
+def _likest(row: np.ndarray, apart: np.ndarray, few: int) -> np.ndarray:
+    """Places of the ``few`` least ``apart`` of each row."""
+    order = np.lexsort((apart, row))
+    at, own = np.arange(len(order)), row[order]
+    first = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), at, 0)) if len(own) else at
+    return order[at - first < few]
+
+
 def _pairs_of(t: pa.Table, similarity: float, few: int | None):
-    """Pairs that may link, of rows (g, role, c, tid, n, hist) of whole groups g; with ``few`` only so many for each row, the likest.
+    """Pairs that may link and by how much their words differ, of rows (g, role, c, tid, n, hist) of whole groups g; with ``few`` the likest of each row only.
 
     Role 0 and 1 rows meet the other side only; role 2 rows meet each other and sides don't matter.
     """
@@ -390,36 +418,37 @@ def _pairs_of(t: pa.Table, similarity: float, few: int | None):
                 apart = facts.apart(i, facts, j, similarity)
                 ok = np.flatnonzero(apart >= 0)
                 if few is not None:
-                    ok = ok[np.lexsort((apart[ok], i[ok]))]
-                    at = np.arange(len(ok))
-                    first = np.maximum.accumulate(np.where(np.append(True, i[ok][1:] != i[ok][:-1]), at, 0)) if len(ok) else at
-                    ok = ok[at - first < few]
+                    ok = ok[np.unique(np.concatenate([_likest(i[ok], apart[ok], few), _likest(j[ok], apart[ok], few)]))]
                 a, b = tid[i[ok]], tid[j[ok]]
                 if len(a):
-                    yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                    yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), apart[ok]], axis=1), axis=0)
 
 
 def _met(members: DataFrame, facts: DataFrame, similarity: float, few: int | None = None) -> DataFrame:
-    """Every pair (a, b) of members (bucket, tid, c) that share a bucket, differ in class c and may link.
+    """Every pair (a, b) of members (bucket, tid, c) that share a bucket, differ in class c and may link; with ``few`` those likest ones of each member.
 
     The members of a bucket's largest class are dealt to blocks of about BLOCK and don't meet each
     other; the others go to every such block, and meet each other by pairs of blocks. So a class
     however large, with a few strangers in its bucket, is copied not at all. Pairs are made in
-    arrays of bounded length inside a group of rows and leave it only if they may link.
+    arrays of bounded length inside a group of rows and leave it only if their words allow a link.
     """
 
     def run(batches):
+        def given(t):
+            for got in _pairs_of(t, similarity, few):
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, k]) for k in range(3)], names=["a", "b", "apart"])
+
         held = None
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if held.num_rows >= 2 * BLOCK:
                 g = held.column("g").to_numpy()
                 cut = int(np.searchsorted(g, g[-1]))
-                for got in _pairs_of(held.slice(0, cut), similarity, few) if cut else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                if cut:
+                    yield from given(held.slice(0, cut))
                 held = held.slice(cut)
-        for got in _pairs_of(held, similarity, few) if held is not None and held.num_rows else ():
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+        if held is not None and held.num_rows:
+            yield from given(held)
 
     sizes = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
     size = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where("classes > 1")
@@ -442,7 +471,13 @@ def _met(members: DataFrame, facts: DataFrame, similarity: float, few: int | Non
     among = other.select("tid", "c", F.explode(meet).alias("r"))
     rows = save(main.unionByName(come).unionByName(among).select("tid", "c", "r.role", "r.g"), "blocks")
     rows = rows.join(facts, "tid").select("g", "role", "c", "tid", "n", "hist").repartition("g").sortWithinPartitions("g")
-    return rows.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b")
+    pairs = rows.mapInArrow(run, "a long, b long, apart long").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    if few is None:
+        return pairs.select("a", "b")
+    # a member has few of each block that it is in
+    ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
+    w = Window.partitionBy("end").orderBy("apart", "a", "b")
+    return ends.withColumn("k", F.row_number().over(w)).where(F.col("k") <= few).select("a", "b").distinct()
 
 
 def row_key(text: Column) -> Column:
