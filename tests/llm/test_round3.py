@@ -210,6 +210,27 @@ def test_op13_sql(spark, tmp_path):
     assert {v for *_, rule, v in want if rule is None} == {"allow", "block"}
 
 
+def test_op8_aligned_side_by_side():
+    from varspan.llm import near_dup
+
+    rng = np.random.default_rng(6)
+    a, b, most = [], [], []
+    for _ in range(400):
+        x = rng.integers(0, int(rng.choice([3, 40, 60000])), int(rng.integers(1, 60))).astype(np.uint16)
+        y = x.tolist()
+        for _ in range(int(rng.integers(0, 14))):
+            k = int(rng.integers(0, len(y) + 1))
+            how = rng.integers(3)
+            y = y[:k] + ([int(rng.integers(0, 9))] if how else []) + y[k + (how < 2) :]
+        y = np.array(y or [1], dtype=np.uint16)
+        limit = int(0.2 * max(len(x), len(y)) + 1e-9) + int(rng.integers(0, 3))
+        if abs(len(x) - len(y)) <= limit:
+            a, b, most = [*a, x], [*b, y], [*most, limit]
+    got = near_dup._banded(a, b, np.array(most))
+    want = [near_dup.edit_distance(x.astype(np.uint32), y.astype(np.uint32), k) for x, y, k in zip(a, b, most, strict=True)]
+    assert got.tolist() == [d if d <= k else -1 for d, k in zip(want, most, strict=True)] and 50 < sum(d >= 0 for d in got) < len(got) - 50
+
+
 def test_op8_pairs_of_large_groups(spark, monkeypatch):
     """Near copies of one text, and texts that share a long passage: few pairs are aligned, and near copies are one class."""
     import random

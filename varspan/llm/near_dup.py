@@ -24,6 +24,8 @@ CHAIN = 3
 BINS, LONG = ((256, 1024), (1024, 4096), (4096, 16384)), 8192
 #: Counts are compared as sums of so many first, which rules most pairs out.
 COARSE = 8
+#: Words up to which texts of a block are aligned side by side, and cells of a step of that.
+ALIGNED, CELLS = 512, 1 << 20
 #: Rows of a block, and pairs that are compared at once.
 BLOCK, AT_ONCE = 2048, 200_000
 #: Likest partners of a row that are aligned before the others.
@@ -159,7 +161,7 @@ class _Facts:
     """Lengths and counts of words of texts, and whether they allow a link."""
 
     def __init__(self, n: np.ndarray, hist: list[bytes]):
-        self.n = n.astype(np.int64)
+        self.n, self.held = n.astype(np.int64), hist
         size = [next((b for most, b in BINS if x <= most), LONG) for x in self.n.tolist()]
         self.kind, self.at, self.of = np.array(size, dtype=np.int64), np.zeros(len(hist), dtype=np.int64), {}
         for b in np.unique(self.kind).tolist():
@@ -168,6 +170,22 @@ class _Facts:
             self.of[b] = np.stack([np.frombuffer(hist[i], dtype=np.uint8) if b == LONG else _counts(np.frombuffer(hist[i], dtype=np.uint16), b) for i in own])
         self.coarse = {b: self._folded(x, b // COARSE) for b, x in self.of.items()}
 
+    def aligned(self, i: np.ndarray, other: "_Facts", j: np.ndarray, similarity: float) -> np.ndarray:
+        """Edits between texts by 16 bits of each word, which are no more than by all of it; -1 where those are too many, 0 where a text is too long to say."""
+        n, m = self.n[i], other.n[j]
+        most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+        out = np.zeros(len(i), dtype=np.int64)
+        short = np.flatnonzero(np.maximum(n, m) <= ALIGNED)
+        short = short[np.argsort(n[short], kind="stable")]
+        read = lambda facts, at: [np.frombuffer(facts.held[x], dtype=np.uint16) for x in at]
+        lo = 0
+        while lo < len(short):
+            step = max(1, CELLS // int(2 * most[short[min(lo + 4096, len(short) - 1)]] + 1))
+            k = short[lo : lo + step]
+            out[k] = _banded(read(self, i[k]), read(other, j[k]), most[k])
+            lo += step
+        return out
+
     @staticmethod
     def _folded(x: np.ndarray, bins: int) -> np.ndarray:
         """Counts that share a place modulo ``bins``, added up."""
@@ -204,6 +222,38 @@ class _Facts:
         return found
 
 
+def _banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Edit distances of many pairs of runs at once, a row of all their tables at a time within a band around the diagonals; -1 above ``most``."""
+    n, m = (np.array([len(x) for x in y]) for y in (a, b))
+    band, rows, large = int(most.max()), int(n.max()), np.int16(30_000)
+    left = np.full((len(a), rows), -1, dtype=np.int32)
+    right = np.full((len(a), rows + 2 * band + 1), -2, dtype=np.int32)
+    for p in range(len(a)):
+        left[p, : n[p]] = a[p]
+        right[p, band : band + m[p]] = b[p]
+    out, own = np.full(len(a), -1, dtype=np.int64), np.arange(len(a))
+    shift = np.arange(2 * band + 1, dtype=np.int16)
+    row = np.broadcast_to(np.where(shift >= band, shift - np.int16(band), large), (len(a), len(shift))).astype(np.int16)
+    for i in range(1, rows + 1):
+        new = row + (right[:, i - 1 : i + 2 * band] != left[:, i - 1 : i])
+        np.minimum(new[:, :-1], row[:, 1:] + np.int16(1), out=new[:, :-1])
+        new -= shift
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += shift
+        row = np.minimum(new, large)
+        ends = np.flatnonzero(n == i)
+        if len(ends):
+            d = row[ends, band + m[ends] - n[ends]].astype(np.int64)
+            out[own[ends]] = np.where(d <= most[ends], d, -1)
+        if i % 8 == 0:
+            stay = (n > i) & (row.min(axis=1) <= most)
+            if not stay.any():
+                break
+            if stay.mean() < 0.7:
+                left, right, row, n, m, most, own = left[stay], right[stay], row[stay], n[stay], m[stay], most[stay], own[stay]
+    return out
+
+
 def _gap(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two runs within a band of ``most`` around the diagonal; above ``most``: most + 1."""
     n, m = len(a), len(b)
@@ -417,6 +467,8 @@ def _pairs_of(t: pa.Table, similarity: float, few: int | None):
                 i, j = i[ok], j[ok]
                 apart = facts.apart(i, facts, j, similarity)
                 ok = np.flatnonzero(apart >= 0)
+                edits = facts.aligned(i[ok], facts, j[ok], similarity)
+                ok = ok[edits >= 0]
                 if few is not None:
                     ok = ok[np.unique(np.concatenate([_likest(i[ok], apart[ok], few), _likest(j[ok], apart[ok], few)]))]
                 a, b = tid[i[ok]], tid[j[ok]]
@@ -430,7 +482,8 @@ def _met(members: DataFrame, facts: DataFrame, similarity: float, few: int | Non
     The members of a bucket's largest class are dealt to blocks of about BLOCK and don't meet each
     other; the others go to every such block, and meet each other by pairs of blocks. So a class
     however large, with a few strangers in its bucket, is copied not at all. Pairs are made in
-    arrays of bounded length inside a group of rows and leave it only if their words allow a link.
+    arrays of bounded length inside a group of rows, and leave it only if the counts of their words and, of texts
+    of ALIGNED words or fewer, an alignment there allow a link.
     """
 
     def run(batches):
