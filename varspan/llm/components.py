@@ -28,6 +28,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out
 
 
+def _settled(edges: DataFrame) -> bool:
+    """True if every node has one smaller neighbour, which has none itself, or none: then edges lead to the least of each component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).where("leaf + root > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of any direction to (node, component): the smallest node that links reach.
 
@@ -35,15 +41,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the depth at least, and every round is a written table, so a lost executor costs a stage only.
     """
     now = save(_distinct(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
-    mark = None
-    while True:
+    while not _settled(now):
         then = _star(now, True)
         forget(now)
         now = _star(then, False)
         forget(then)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

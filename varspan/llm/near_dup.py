@@ -603,8 +603,11 @@ def _classes(documents: DataFrame, k: int, minima: int, sketches: int, similarit
         named = with_classes(comp)
     # members of buckets that still hold more than one class meet each other: their likest first, which joins most classes, and then all
     for few in (FEW, None):
-        again = save(_met(named, facts, similarity, few).join(met, ["a", "b"], "left_anti"), "again")
-        # the likest ones may all have met before, so others are looked for even where none of them is new
+        found = save(_met(named, facts, similarity, few), "found")
+        # a member with any partner has a likest one; but those may all have met before, so others are looked for even where none of them is new
+        if found.isEmpty():
+            break
+        again = save(found.join(met, ["a", "b"], "left_anti"), "again")
         if not again.isEmpty():
             comp, met = joined(comp, linked(again)), met.unionByName(again)
             forget(named)
