@@ -53,6 +53,14 @@ def inheritance(target: Column, base: Column, least: float, somatic: bool) -> Co
     return F.when(new, "NewCOMP").when(F.abs(target - base) >= least, "NewALLELE").otherwise("Germline")
 
 
+def allele_inheritance(base_vaf: Column, base_class: Column, target_vaf: Column, target_class: Column, least: float, somatic: bool) -> Column:
+    """As inheritance, for alleles with a class: one that the base has in another class is new, too."""
+    enough = target_vaf >= least if somatic else F.lit(True)
+    new = ((base_vaf == 0) | (base_class != target_class)) & enough
+    changed = (base_class == target_class) & (F.abs(base_vaf - target_vaf) >= least)
+    return F.when(new, "NewCOMP").when(changed, "NewALLELE").otherwise("Germline")
+
+
 def overlap_class(s1: Column, e1: Column, s2: Column, e2: Column, slack: int = 50) -> Column:
     """How spans a and b of one chromosome overlap; containment allows ``slack`` at each end and is tested first."""
     same = (s1 == s2) & (e1 == e2)

@@ -14,7 +14,7 @@ from varspan.jobs import records
 from varspan.jobs.detect import call_reads, call_variants, split_read_events
 from varspan.operators import cluster, compare, consensus, depth, events, kmers, positions, reads, rescue, signatures
 from varspan.operators.ranges import overlap_join
-from varspan.params import PRESETS
+from varspan.params import PRESETS, replace
 from varspan.sources import alignments, intervals, reference, vcf
 from varspan.sources.tables import kept
 
@@ -113,6 +113,14 @@ def query(sql: str | None = None):
 AE = f"{ALN}, {TOK}, a AS (SELECT *, ref_start + m1 + m2 + CASE WHEN op = 'D' THEN n ELSE 0 END - 1 AS ref_end FROM tok)"
 
 
+@query(_sql(AE, "iv AS (SELECT concat('chr', CAST(p_partkey % 5 AS string)) AS chrom, p_partkey * 500 AS s, p_partkey * 500 + 300 * (p_size % 4) AS e FROM part WHERE p_partkey % 3 = 0)", select="SELECT aln_id, ref_start, ref_end FROM a WHERE EXISTS (SELECT 1 FROM iv WHERE iv.chrom = a.chrom AND s < e AND s + 1 <= ref_end AND e >= ref_start)"))
+def q_interval_scan(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 3 = 0")
+    at = F.col("p_partkey") * 500
+    bed = p.select(F.concat(F.lit("chr"), F.col("p_partkey") % 5).alias("chrom"), at.alias("start"), (at + 300 * (F.col("p_size") % 4)).alias("end"))
+    return intervals.in_intervals(aln(spark, d), bed, 2000).select("aln_id", "ref_start", "ref_end")
+
+
 @query(_sql(AE, select="SELECT aln_id, ref_start, ref_end FROM a WHERE chrom = 'chr2' AND ref_start <= 60000 AND ref_end >= 20000"))
 def q_scan_region(spark, d):
     return intervals.in_region(aln(spark, d), "chr2", 20_000, 60_000).select("aln_id", "ref_start", "ref_end")
@@ -644,6 +652,13 @@ def q_detect_reads(spark, d):
     return called_reads(spark, d).select("sample", "chrom", "type", "class", "op", "start", "end", "length", "support", "depth", "vaf", "gt", "filter", "left", "right", "bkps", "alt")
 
 
+@query(_sql(SIG, *_reads_sql(), select='SELECT sample, chrom, type, start, "end", length, support, depth, vaf, gt, "left", "right", bkps FROM cr WHERE op <> \'B\'').replace("support >= 5", "support >= 1"))
+def q_detect_assemblies(spark, d):
+    x = kept(reads_of_sites(spark, d))
+    got = call_reads(x, x.select("chrom").distinct(), replace(PRESETS["asm"], skip_bnd=True))
+    return got.select("sample", "chrom", "type", "start", "end", "length", "support", "depth", "vaf", "gt", "left", "right", "bkps")
+
+
 #: Of a step seen from either end the record on chrS goes; a turn along the chromosome is a large inversion.
 RECORDS = """nm AS (SELECT sample, site, form, string_agg(DISTINCT read_id, ',' ORDER BY read_id) AS names FROM rd GROUP BY ALL),
 tg AS (SELECT * FROM cr JOIN nm USING (sample, site, form) WHERE sample = 'target' AND NOT (form = 1 AND site IN (SELECT site FROM cr WHERE sample = 'target' AND kind = 4 AND form = 0))),
@@ -930,6 +945,47 @@ def q_pixel_alleles(spark, d):
     return positions.pixel_alleles(positions.class_runs(px, ["site"], ["read_id"], "class"), ["site"], "class")
 
 
+#: Lines of pixels by read, the last of which only closes a run; those with an insertion (I) run along the read.
+LINES_OF = ("BBRRDBRDDDBB", "BRRRBDDDDBBV", "BRDDBRDDBBBD", "BRRRDBVVVVBB", "RRDDBRDDBBBB", "BDDBRRDDBRDB", "BBBIIIBBBBBB", "BRRRIIIIBBBB", "BBIIRBRIIIBB", "BRDVBRDDBIBB")
+CLASS_OF = {"B": "BG", "R": "REF", "I": "INS", "D": "DEL", "V": "INV"}
+ALLELES = f"""li AS (SELECT sample, site, read_id, [{', '.join(f"'{x}'" for x in LINES_OF)}][(read_id % 97 + site) % {len(LINES_OF)} + 1] AS line FROM (SELECT DISTINCT sample, site, read_id FROM sig)),
+px AS (SELECT sample, site, read_id, CASE WHEN contains(line, 'III') THEN 'INS' ELSE 'DEL' END AS kind, x, CASE substr(line, CASE WHEN x = 12 THEN 11 ELSE x END, 1) WHEN 'B' THEN 'BG' WHEN 'R' THEN 'REF' WHEN 'I' THEN 'INS' WHEN 'D' THEN 'DEL' ELSE 'INV' END AS c FROM (SELECT *, CAST(unnest(range(1, 13)) AS int) AS x FROM li)),
+r0 AS (SELECT *, CASE WHEN lag(c) OVER w = c THEN 0 ELSE 1 END AS fresh FROM px WINDOW w AS (PARTITION BY sample, site, read_id ORDER BY x)),
+r1 AS (SELECT *, sum(fresh) OVER (PARTITION BY sample, site, read_id ORDER BY x) AS run FROM r0),
+r2 AS (SELECT sample, site, read_id, kind, run, c, count(*) AS n FROM r1 GROUP BY ALL HAVING CASE WHEN kind = 'INS' THEN c IN ('INS', 'BG', 'REF') ELSE c <> 'INS' END),
+r3 AS (SELECT sample, site, read_id, kind, list({{'c': c, 'n': n}} ORDER BY run) AS l FROM r2 GROUP BY ALL),
+r4 AS (SELECT sample, site, read_id, kind, CASE WHEN kind = 'INS' AND ((len(l) = 3 AND l[2].c = 'INS') OR (len(l) = 4 AND l[3].c = 'INS')) THEN list_concat([{{'c': l[1].c, 'n': l[1].n - l[2].n - 1}}, {{'c': 'REF', 'n': l[2].n}}, {{'c': 'BG', 'n': 2}}], l[2:]) ELSE l END AS l FROM r3),
+r5 AS (SELECT sample, site, read_id, kind, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS e, l[1].c = 'BG' AND l[len(l)].c = 'BG' AS edges FROM r4),
+a0 AS (SELECT sample, site, read_id, kind, k, e.c AS c, e.n AS n, edges, count(*) FILTER (e.c = 'BG') OVER (PARTITION BY sample, site, read_id ORDER BY k) AS allele FROM r5),
+a1 AS (SELECT *, CAST(round(100 * CAST(printf('%.2f', n::double / sum(n) OVER (PARTITION BY sample, site, read_id, allele)) AS double)) AS bigint) AS share FROM a0 WHERE edges AND c <> 'BG'),
+a2 AS (SELECT sample, site, read_id, kind, allele, coalesce(sum(share) FILTER (c <> 'REF'), 0) / 100::double AS alt, coalesce(last(c ORDER BY k) FILTER (c <> 'REF'), 'NA') AS class FROM a1 GROUP BY ALL),
+a3 AS (SELECT sample, site, read_id, kind, count(*) AS n, max(CASE WHEN allele = 1 THEN alt END) AS bv, max(CASE WHEN allele = 1 THEN class END) AS bc, max(CASE WHEN allele = 2 THEN alt END) AS tv, max(CASE WHEN allele = 2 THEN class END) AS tc FROM a2 GROUP BY ALL),
+lb AS (SELECT *, CASE WHEN bv = 0 OR bc <> tc THEN 'NewCOMP' WHEN abs(bv - tv) >= 0.3 THEN 'NewALLELE' ELSE 'Germline' END AS label, CASE WHEN tv >= 0.3 AND (bv = 0 OR bc <> tc) THEN 'NewCOMP' WHEN bc = tc AND abs(bv - tv) >= 0.3 THEN 'NewALLELE' ELSE 'Germline' END AS somatic FROM a3 WHERE n % 2 = 0 AND tc = kind),
+lr AS (SELECT sample, site, kind, list(label ORDER BY read_id) AS l, count(*) AS n, count(*) FILTER (somatic = 'NewCOMP') AS somatic FROM lb GROUP BY ALL),
+ls AS (SELECT *, list_filter(l, lambda v, i: i = 1 OR l[i - 1] <> v) AS r FROM lr)"""
+
+
+@query(_sql(SIG, ALLELES, select="""SELECT sample, site, kind, n, somatic, CASE WHEN len(r) = 1 THEN r[1] WHEN len(list_filter(l, lambda v: v = 'Germline')) / n::double >= 0.2 THEN 'Germline' WHEN len(list_filter(l, lambda v: v = 'NewALLELE')) / n::double >= 0.2 THEN 'NewALLELE' ELSE 'NewCOMP' END AS label,
+  CASE WHEN len(r) = 1 THEN r[1] WHEN (r[1] = 'NewCOMP' AND r[2] = 'Germline') OR (r[len(r)] = 'NewCOMP' AND r[len(r) - 1] = 'Germline') THEN 'NewBKP' END AS breakpoint FROM ls"""))
+def q_allele_labels(spark, d):
+    x = sig(spark, d).select("sample", "site", "read_id").distinct()
+    line = F.element_at(F.array(*[F.lit(t) for t in LINES_OF]), ((F.col("read_id") % 97 + F.col("site")) % len(LINES_OF) + 1).cast("int"))
+    x = x.withColumn("line", line).withColumn("kind", F.when(F.col("line").contains("III"), "INS").otherwise("DEL"))
+    keys = ["sample", "site", "read_id", "kind"]
+    px = x.select(*keys, F.posexplode(F.split("line", "")).alias("x", "c")).where("c <> ''")
+    px = px.withColumn("class", F.create_map(*[F.lit(v) for kv in CLASS_OF.items() for v in kv])[F.col("c")])
+    along = F.when(F.col("kind") == "INS", F.col("class").isin("INS", "BG", "REF")).otherwise(F.col("class") != "INS")
+    runs = positions.line_runs(px, keys, "x", "class", along)
+    rows = positions.repaired_insertions(runs.where("kind = 'INS'"), keys, "class").unionByName(runs.where("kind <> 'INS'").select(*keys, "run", "class", "n"))
+    pair = positions.allele_pairs(positions.pixel_alleles(rows, keys, "class"), keys, "kind")
+    both = [C.allele_inheritance(F.col("base_vaf"), F.col("base_class"), F.col("target_vaf"), F.col("target_class"), P.diff_freq, somatic) for somatic in (False, True)]
+    lines = pair.select(*keys, both[0].alias("label"), both[1].alias("somatic"))
+    own = ["sample", "site", "kind"]
+    count = lines.groupBy(*own).agg(F.count(ONE).alias("n"), F.count_if(F.col("somatic") == "NewCOMP").alias("somatic"))
+    ends = compare.new_breakpoint_label(lines, own, "read_id").withColumnRenamed("label", "breakpoint")
+    return count.join(compare.final_label(lines, own), own).join(ends, own)
+
+
 @query(_sql(SIG, OK, SITE, select="SELECT sample, site, greatest(f + CASE WHEN op IN ('D', 'V') THEN length ELSE 0 END, f + CASE WHEN op IN ('I', 'V') THEN length ELSE 0 END) / 256.0::double AS ratio FROM (SELECT *, 2 * ((length + 1) * 7 // 10) AS f FROM calls)"))
 def q_img_ratio(spark, d):
     return positions.image_ratio(cluster.extended(calls(spark, d))).select("sample", "site", "ratio")
@@ -964,9 +1020,11 @@ def _kmer_pairs(spark, d):
     return t.withColumn("query", F.when(F.col("id") % 2 == 0, F.col("query")).otherwise(C.reverse_complement(F.col("query"))))
 
 
-@query(_sql(KMER, select="SELECT * FROM kp"))
+#: Every seed counts; what is compared is a sum for each document and strand.
+@query(_sql(KMER, select="SELECT id, strand, count(*) AS n, CAST(sum(query_pos) AS bigint) AS query_sum, CAST(sum(ref_pos) AS bigint) AS ref_sum, CAST(sum(query_pos * 7919 % 10007 * ref_pos % 99991) AS bigint) AS mixed FROM kp GROUP BY ALL"))
 def q_kmer_seeds(spark, d):
-    return kmers.seeds(_kmer_pairs(spark, d))
+    mixed = F.col("query_pos") * 7919 % 10007 * F.col("ref_pos") % 99991
+    return kmers.seeds(_kmer_pairs(spark, d)).groupBy("id", "strand").agg(F.count(ONE).alias("n"), F.sum("query_pos").alias("query_sum"), F.sum("ref_pos").alias("ref_sum"), F.sum(mixed).alias("mixed"))
 
 
 @query(_sql(KMER, "kr AS (SELECT *, query_pos - row_number() OVER (PARTITION BY id, strand, ref_pos - query_pos ORDER BY query_pos) AS run FROM kp)", select="SELECT id, strand, min(query_pos) AS query_start, min(ref_pos) AS ref_start, count(*) + 16 AS length FROM kr GROUP BY id, strand, ref_pos - query_pos, run HAVING count(*) + 16 >= 30"))
