@@ -1,12 +1,13 @@
 """Whitening, hard negatives and the URL filter against brute force."""
 
+import math
 from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varspan.llm import hard_negatives, url_filter, whitening
+from varspan.llm import hard_negatives, toxicity, url_filter, whitening
 from varspan.llm.queries import op11_whitening
 
 VEC = "vec_id long, embedding array<double>, label int, v string, n string"
@@ -258,3 +259,31 @@ def test_op8_pairs_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "_verified", counted)
     out = near_dup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert sum(seen) < 8 * n and {r.class_id for r in out if r.doc_id < n} == {0} and len({r.class_id for r in out}) == n + 1
+
+
+def test_op4_fit_rises_to_a_top():
+    rng = np.random.default_rng(3)
+    docs = [[sorted(rng.choice(6, rng.integers(1, 4), replace=False).tolist()) for _ in range(rng.integers(0, 4))] for _ in range(80)]
+    n = np.array([len(d) + i % 3 for i, d in enumerate(docs)], float)
+    y = np.array([float(any(0 in s or (1 in s and 2 in s) for s in d)) for d in docs])
+    y[::17] = 1 - y[::17]
+    rise = toxicity._Rise(y, n, docs, 6, 0.01)
+
+    def plain(theta):
+        """The same by the definition: a document is clean if each of its sentences is."""
+        out = 0.0
+        for of, words, whole in zip(y, docs, n, strict=True):
+            logits = [theta[-1] + sum(theta[w] for w in s) for s in words] + [theta[-1]] * int(whole - len(words))
+            clean = math.prod(1 - 1 / (1 + math.exp(-z)) for z in logits)
+            out += math.log(max(1 - clean if of else clean, 1e-9))
+        return out - 0.01 * len(y) * 0.1 / 2 * sum(t * t for t in theta[:-1])
+
+    for _ in range(5):
+        theta = rng.normal(size=7)
+        assert rise.value(theta) == pytest.approx(plain(theta), rel=1e-6)
+        slope = [(rise.value(theta + e) - rise.value(theta - e)) / 2e-5 for e in np.eye(7) * 1e-5]
+        some = rise.gradient(theta)
+        assert some == pytest.approx(slope, rel=1e-4, abs=1e-4)
+    model = toxicity._train(y, n, docs, list("abcdef"), 2000, 0.01)
+    top = np.array([*model.weights.values(), model.bias])
+    assert np.abs(rise.gradient(top)).max() < 0.05 and all(rise.value(top) > rise.value(top + e) for e in rng.normal(size=(50, 7)) * 0.3)

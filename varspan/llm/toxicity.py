@@ -19,7 +19,7 @@ FIT_DOCS, FIT_CHARS, VOCABULARY = 20_000, 100_000_000, 4096
 #: A stem is a word's first letters; so many make one, with a mark behind it, as words of one family share them.
 STEM, MARK = 4, "*"
 #: A word or stem is weighed if its share of toxic documents is so many standard deviations from that of all, and it is in so many documents and shares of them.
-SIGMAS, LEAST, LEAST_SHARE = 5.0, 10, 0.0005
+SIGMAS, LEAST, LEAST_SHARE = 5.0, 4, 0.0005
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 
@@ -111,26 +111,43 @@ def fit(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_c
     return _train(coded["y"].to_numpy(float), coded["n"].to_numpy(float), coded["ids"].tolist(), [r["word"] for r in top], rounds, decay)
 
 
+class _Rise:
+    """What the fit raises: log-likelihood of document labels less the weights' squares; the bias, last in ``theta``, isn't held back."""
+
+    def __init__(self, y, n, docs, names: int, decay: float):
+        self.y, self.docs, self.names, self.held = y, len(docs), names, decay * len(y) * 0.1
+        self.of_doc = np.array([d for d, s in enumerate(docs) for _ in s], dtype=np.int64)
+        flat = [list(x) for s in docs for x in s]
+        self.inst = np.array([i for i, x in enumerate(flat) for _ in x], dtype=np.int64)
+        self.word = np.array([w for x in flat for w in x], dtype=np.int64)
+        self.plain = n - np.bincount(self.of_doc, minlength=len(docs))
+
+    def _none(self, theta):
+        """Logits of sentences with words, and -log of each document's chance that none of its sentences is toxic."""
+        z = theta[-1] + np.bincount(self.inst, weights=theta[self.word], minlength=len(self.of_doc))
+        none = np.bincount(self.of_doc, weights=_softplus(z), minlength=self.docs) + self.plain * _softplus(theta[-1])
+        return z, np.maximum(none, 1e-9)
+
+    def value(self, theta) -> float:
+        none = self._none(theta)[1]
+        return float(np.where(self.y > 0, np.log(-np.expm1(-none)), -none).sum() - self.held / 2 * (theta[:-1] ** 2).sum())
+
+    def gradient(self, theta):
+        z, none = self._none(theta)
+        push = np.where(self.y > 0, np.exp(-none) / -np.expm1(-none), -1.0)
+        g = push[self.of_doc] / (1 + np.exp(-z))
+        bias = g.sum() + (push * self.plain).sum() / (1 + math.exp(-theta[-1]))
+        return np.append(np.bincount(self.word, weights=g[self.inst], minlength=self.names) - self.held * theta[:-1], bias)
+
+
 def _train(y, n, docs, names, rounds, decay) -> NoisyOr:
     """Adam on the likelihood of noisy-or: P(doc) = 1 - prod(1 - p(sentence)); sentences without a word share the bias."""
-    of_doc = np.array([d for d, s in enumerate(docs) for _ in s], dtype=np.int64)
-    flat = [list(x) for s in docs for x in s]
-    inst = np.array([i for i, x in enumerate(flat) for _ in x], dtype=np.int64)
-    word = np.array([w for x in flat for w in x], dtype=np.int64)
-    plain = n - np.bincount(of_doc, minlength=len(docs))
+    rise = _Rise(y, n, docs, len(names), decay)
     theta = np.zeros(len(names) + 1)
     theta[-1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        b = theta[-1]
-        z = b + np.bincount(inst, weights=theta[word], minlength=len(flat))
-        sig, sig0 = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-b))
-        none = np.bincount(of_doc, weights=_softplus(z), minlength=len(docs)) + plain * _softplus(b)
-        none = np.maximum(none, 1e-9)
-        push = np.where(y > 0, np.exp(-none) / -np.expm1(-none), -1.0)
-        g_inst = push[of_doc] * sig
-        grad = np.append(np.bincount(word, weights=g_inst[inst], minlength=len(names)), g_inst.sum() + (push * plain).sum() * sig0)
-        grad[:-1] -= decay * len(y) * theta[:-1] * 0.1
+        grad = rise.gradient(theta)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta += 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return NoisyOr(float(theta[-1]), {w: float(x) for w, x in zip(names, theta, strict=False)})
