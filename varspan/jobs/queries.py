@@ -12,7 +12,7 @@ from varspan.functions import calls as C
 from varspan.functions import cigar
 from varspan.jobs import records
 from varspan.jobs.detect import call_reads, call_variants, split_read_events
-from varspan.operators import cluster, compare, consensus, depth, events, kmers, positions, reads, rescue, signatures
+from varspan.operators import cluster, compare, consensus, depth, events, kmers, linkage, positions, reads, rescue, signatures
 from varspan.operators.ranges import overlap_join
 from varspan.params import PRESETS, replace
 from varspan.sources import alignments, intervals, reference, vcf
@@ -312,6 +312,18 @@ def q_mixed_cluster(spark, d):
     return rescue.fine_split(members.select(*keys, "op", "read_id"), keys, none, P).join(span, keys).select("sample", "chrom", "first", "last", "op", "support")
 
 
+#: Three places at each site, 700 apart: their reach makes one island of wide spans, their distance three clusters.
+PLACES = "lk AS (SELECT sample, chrom, op, site, read_id % 3 AS place, ref_start + read_id % 3 * 700 AS ref_start, length, read_id FROM ok)"
+
+
+@query(_sql(SIG, OK, PLACES, select="SELECT sample, chrom, op, min(ref_start) AS first, max(ref_start) AS last, count(DISTINCT (ref_start, length)) AS n, count(DISTINCT (ref_start, length, read_id)) AS support FROM lk GROUP BY sample, chrom, op, site, place"))
+def q_linkage(spark, d):
+    x = signatures.usable_reads(sig(spark, d), P).withColumn("ref_start", F.col("ref_start") + F.col("read_id") % 3 * 700)
+    c = linkage.linkage_clusters(signatures.collapse(x), ["sample", "chrom", "op"])
+    g = c.groupBy("sample", "chrom", "op", "island", "cluster").agg(F.min("ref_start").alias("first"), F.max("ref_start").alias("last"), F.count(ONE).alias("n"), F.sum("support").alias("support"))
+    return g.drop("island", "cluster")
+
+
 @query(_sql(SIG, OK, select="SELECT sample, site, list_sort(list(ref_start))[CAST(floor(count(*) / 2) AS int) + 1] AS start, list_sort(list(length))[CAST(floor(count(*) / 2) AS int) + 1] AS length, count(DISTINCT read_id) AS support FROM ok GROUP BY ALL"))
 def q_centroid(spark, d):
     return cluster.centroids(signatures.usable_reads(sig(spark, d), P), ["sample", "site"])

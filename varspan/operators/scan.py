@@ -41,3 +41,19 @@ def islands(df: DataFrame, keys: list[str], pos: str, gap: int, out: str, tile:
     firsts = firsts.select(*keys, "_tile", F.max("_f").over(upto).alias("_carry"))
     df = df.join(firsts, [*keys, "_tile"])
     return df.withColumn(out, F.coalesce(F.max("_first").over(w), "_carry")).drop("_tile", "_before", "_prev", "_first", "_carry")
+
+
+def merged(df: DataFrame, keys: list[str], lo: str, hi: str, out: str, tile: int = TILE) -> DataFrame:
+    """The first ``lo`` of each row's run of stretches [lo, hi] that overlap or touch."""
+    df = _tiled(df, lo, tile)
+    by = Window.partitionBy(*keys).orderBy("_tile")
+    upto = by.rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy(*keys, "_tile").agg(F.max(hi).alias("_last"))
+    ends = ends.select(*keys, "_tile", F.max("_last").over(upto).alias("_before"))
+    w = Window.partitionBy(*keys, "_tile").orderBy(lo)
+    reached = F.greatest(F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
+    df = df.join(ends, [*keys, "_tile"]).withColumn("_reached", reached)
+    df = df.withColumn("_first", F.when(F.col("_reached").isNull() | (F.col(lo) > F.col("_reached")), F.col(lo)))
+    firsts = df.groupBy(*keys, "_tile").agg(F.max("_first").alias("_f"))
+    df = df.join(firsts.select(*keys, "_tile", F.max("_f").over(upto).alias("_carry")), [*keys, "_tile"])
+    return df.withColumn(out, F.coalesce(F.max("_first").over(w), "_carry")).drop("_tile", "_before", "_reached", "_first", "_carry")
