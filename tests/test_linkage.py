@@ -1,12 +1,13 @@
-"""Average linkage against its definition, and islands of stretches."""
+"""Average linkage and maps of windows against their definitions, and islands of stretches."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varspan.operators import linkage
+from varspan.operators import linkage, positions
 from varspan.operators.linkage import average_linkage, linkage_clusters
 from varspan.operators.scan import merged
+from varspan.sources import reference
 
 
 def distance(a, b):
@@ -80,3 +81,57 @@ def test_merged_stretches(spark):
     df = spark.createDataFrame(rows, "k int, lo long, hi long")
     got = {(r.k, r.lo): r.island for r in merged(df, ["k"], "lo", "hi", "island", tile=1000).collect()}
     assert got == want and merged(df.where(F.lit(False)), ["k"], "lo", "hi", "island").count() == 0
+
+
+def plain_map(window, parts):
+    """{(position, op): (reads, coverage, pct)} by walking every position."""
+    lo, hi, base = window
+    cover, reads = {}, {}
+    for read, op, a, b, coverage, _, s, t in sorted(parts, key=lambda x: x[5]):
+        whole = lo <= a and b <= hi
+        if base and not whole:
+            continue
+        cover |= dict.fromkeys(range(max(a, lo), min(b, hi) + 1), coverage)
+        if not whole:
+            continue
+        stretches = [(a, b)]
+        if base and s is not None:
+            if lo <= s and t <= hi:
+                cover |= dict.fromkeys(range(s, t + 1), coverage)
+            stretches.append((max(s, lo), min(t, hi)))
+        for x, y in stretches:
+            for at in range(x, y + 1):
+                reads.setdefault((at, op), set()).add(read)
+    every: dict = {}
+    for (at, _), r in reads.items():
+        every[at] = every.get(at, 0) + len(r)
+    total = {at: cover.get(at, 1) or every[at] for at in every}
+    return {k: (len(r), cover.get(k[0], 1), min(100, round(100 * len(r) / total[k[0]]))) for k, r in reads.items()}
+
+
+def test_maps_of_windows(spark):
+    rng = np.random.default_rng(4)
+    windows = {f"w{k}": (100, 100 + 60 * k, k % 2 == 0) for k in range(1, 9)}
+    rows = []
+    for k in windows:
+        for nth in range(0 if k == "w8" else 25):
+            a, s = int(rng.integers(90, 300)), int(rng.integers(80, 400))
+            op = str(rng.choice(["I", "D", "V"]))
+            source = (s, s + int(rng.integers(0, 60))) if op == "I" and nth % 3 else (None, None)
+            rows.append((k, f"r{nth % 9}", op, a, a + int(rng.integers(0, 40)), nth % 4, nth, *source))
+    kind = "id string, read_id string, op string, lo long, hi long, coverage int, nth int, src_lo long, src_hi long"
+    parts = spark.createDataFrame([*rows, rows[0], ("w1", "r", "D", None, 5, 1, 99, None, None), (None, "r", "D", 100, 101, 1, 99, None, None)], kind)
+    w = spark.createDataFrame([(k, "x", *v) for k, v in windows.items()], "id string, chrom string, lo long, hi long, base boolean")
+    got: dict = {}
+    for r in positions.window_maps(w, parts).collect():
+        for at in range(r.lo, r.hi + 1):
+            assert (r.id, at, r.op) not in got
+            got[r.id, at, r.op] = (r.n_reads, r.coverage, r.pct)
+    want = {(k, *at): v for k, window in windows.items() for at, v in plain_map(window, [r[1:] for r in rows if r[0] == k]).items()}
+    assert got == want and len({k[0] for k in want}) > 5
+    assert positions.window_maps(w, parts.limit(0)).count() == 0 and positions.window_maps(w.limit(0), parts).count() == 0
+    # a base window without parts has the reference's own bases
+    ref = reference.chunks_of(spark.createDataFrame([("x", "AC" * 400)], "chrom string, bases string"), 64)
+    maps = positions.base_maps(w.where("base").drop("base"), parts, ref, 64).collect()
+    assert {r.id for r in maps if r.op in "AC"} == {"w8"} and sum(r.hi - r.lo + 1 for r in maps if r.id == "w8") == windows["w8"][1] - 99
+    assert {(r.id, r.lo, r.op): r.pct for r in maps if r.id != "w8"} == {(r.id, r.lo, r.op): r.pct for r in positions.window_maps(w.where("base"), parts).collect()}

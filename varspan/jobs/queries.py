@@ -935,6 +935,31 @@ def q_pos_freq(spark, d):
     return positions.frequencies(e, spans(spark, d))
 
 
+#: A fifth of the parts begin near the window's edge; insertions have their source 1500 further on, the longest beyond the window; a seventh has no coverage.
+MAP_PARTS = """mp AS (SELECT concat(sample, '/', CAST(site AS string)) AS id, sample, site, read_id, op, ref_start - CASE WHEN read_id % 5 = 0 THEN 520 ELSE 0 END AS lo,
+    ref_start - CASE WHEN read_id % 5 = 0 THEN 520 ELSE 0 END + CASE WHEN op = 'I' THEN 0 ELSE length END AS hi, read_id AS nth, read_id % 7 AS coverage,
+    CASE WHEN op = 'I' THEN ref_start + 1500 END AS src_lo, CASE WHEN op = 'I' THEN ref_start + 1500 + length END AS src_hi FROM sig)"""
+
+
+@query(_sql(SIG, MAP_PARTS, """mw AS (SELECT *, site * 5000 + 9500 AS wlo, site * 5000 + 12500 AS whi FROM mp)""",
+    """mk AS (SELECT id, read_id, op, lo, hi FROM mw WHERE lo >= wlo AND hi <= whi UNION ALL
+      SELECT id, read_id, op, greatest(src_lo, wlo), least(src_hi, whi) FROM mw WHERE lo >= wlo AND hi <= whi AND sample = 'base' AND src_lo <= whi AND src_hi >= wlo)""",
+    """cv AS (SELECT id, nth, 0 AS source, coverage, greatest(lo, wlo) AS lo, least(hi, whi) AS hi FROM mw WHERE sample = 'target' OR (lo >= wlo AND hi <= whi) UNION ALL
+      SELECT id, nth, 1, coverage, src_lo, src_hi FROM mw WHERE sample = 'base' AND lo >= wlo AND hi <= whi AND src_lo >= wlo AND src_hi <= whi)""",
+    """pt AS (SELECT id, lo AS p FROM mk UNION SELECT id, hi + 1 FROM mk UNION SELECT id, lo FROM cv WHERE lo <= hi UNION SELECT id, hi + 1 FROM cv WHERE lo <= hi)""",
+    "st AS (SELECT id, p AS lo, lead(p) OVER (PARTITION BY id ORDER BY p) - 1 AS hi FROM pt)",
+    "nr AS (SELECT st.id, st.lo, st.hi, op, count(DISTINCT read_id) AS n_reads FROM st JOIN mk ON mk.id = st.id AND mk.lo <= st.lo AND mk.hi >= st.hi GROUP BY ALL)",
+    "dp AS (SELECT st.id, st.lo, arg_max(coverage, nth * 2 + source) AS coverage FROM st JOIN cv ON cv.id = st.id AND cv.lo <= st.lo AND cv.hi >= st.hi GROUP BY ALL)",
+    "al AS (SELECT nr.*, coalesce(coverage, 1) AS coverage, sum(n_reads) OVER (PARTITION BY nr.id, nr.lo) AS every FROM nr LEFT JOIN dp USING (id, lo))",
+    select="SELECT id, op, n_reads, CAST(coverage AS bigint) AS coverage, CAST(least(100, round_even(100.0::double * n_reads / CASE WHEN coverage = 0 THEN every ELSE coverage END, 0)) AS int) AS pct, CAST(sum(hi - lo + 1) AS bigint) AS n, CAST(sum((hi - lo + 1) * (lo + hi) / 2) AS bigint) AS at FROM al GROUP BY ALL"))
+def q_pos_map(spark, d):
+    parts = _view(spark, d, f"{SIG}, {MAP_PARTS}", "mp")
+    windows = parts.select("id", (F.col("site") * 5000 + 9500).alias("lo"), (F.col("site") * 5000 + 12500).alias("hi"), (F.col("sample") == "base").alias("base")).distinct()
+    m = positions.window_maps(windows, parts.drop("sample", "site"))
+    n = F.col("hi") - F.col("lo") + 1
+    return m.groupBy("id", "op", "n_reads", "coverage", "pct").agg(F.sum(n).alias("n"), F.sum(n * (F.col("lo") + F.col("hi")) / 2).cast("long").alias("at"))
+
+
 @query(_sql(SIG, "r0 AS (SELECT *, CASE WHEN lag(op) OVER w = op THEN 0 ELSE 1 END AS fresh FROM sig WINDOW w AS (PARTITION BY read_id ORDER BY ref_start, op, length))", "r1 AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY read_id ORDER BY ref_start, op, length) AS bigint) AS run FROM r0)", select="SELECT read_id, run, op, count(*) AS n FROM r1 GROUP BY ALL"))
 def q_pixel_runs(spark, d):
     return positions.class_runs(sig(spark, d), ["read_id"], ["ref_start", "op", "length"], "op")
