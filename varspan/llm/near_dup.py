@@ -28,7 +28,7 @@ COARSE = 8
 ALIGNED, CELLS = 512, 1 << 20
 #: Rows of a block, and pairs that are compared at once.
 BLOCK, AT_ONCE = 2048, 200_000
-#: Likest partners of a row that are aligned before the others.
+#: Likest partners of a row with a longer text, or that has one, which are aligned before the others.
 FEW = 4
 #: Low bits of a hash that give way to the place of its k-mer, and k-mers that are sketched at once.
 PLACE, CHUNK = np.uint64((1 << 28) - 1), 1 << 17
@@ -448,36 +448,88 @@ def _likest(row: np.ndarray, apart: np.ndarray, few: int) -> np.ndarray:
     return order[at - first < few]
 
 
-def _pairs_of(t: pa.Table, similarity: float, few: int | None):
-    """Pairs that may link and by how much their words differ, of rows (g, role, c, tid, n, hist) of whole groups g; with ``few`` the likest of each row only.
+class _Joined:
+    """Classes that links have joined, by the least of each."""
 
+    def __init__(self):
+        self.under: dict[int, int] = {}
+
+    def least(self, c: int) -> int:
+        top = c
+        while (up := self.under.get(top, top)) != top:
+            top = up
+        while c != top:
+            self.under[c], c = top, self.under[c]
+        return top
+
+    def join(self, a: list[int], b: list[int]) -> np.ndarray:
+        """Which of the links between classes a and b join two that weren't one yet."""
+        new = np.zeros(len(a), dtype=bool)
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            x, y = self.least(x), self.least(y)
+            if x != y:
+                self.under[max(x, y)] = min(x, y)
+                new[k] = True
+        return new
+
+
+def _pairs_of(t: pa.Table, similarity: float, few: int | None, joined: _Joined):
+    """Pairs of rows (g, role, c, tid, n, hist) of whole groups g that may link: by how much their words differ, and whether they join two classes.
+
+    With ``few``, texts of ALIGNED words or fewer are aligned to the end by 16 bits of each word, likest
+    first, and of them those pairs are given that join two classes: classes that such pairs have joined need no more
+    alignment. So a group gives fewer of them than it has rows, and if all of them link, nothing else that links is left to join. Pairs with a
+    longer text are given if counts allow a link, the likest of each row only. Without ``few`` all pairs are given that may link.
     Role 0 and 1 rows meet the other side only; role 2 rows meet each other and sides don't matter.
     """
     g, role, c, tid, n = (t.column(x).to_numpy().astype(np.int64) for x in ("g", "role", "c", "tid", "n"))
     facts, order = _Facts(n, t.column("hist").to_pylist()), np.lexsort((n, g))
-    g = g[order]
+    g, long = g[order], n > ALIGNED
     group = np.cumsum(np.append(False, g[1:] != g[:-1])).astype(np.int64)
+    own, code = np.unique(c, return_inverse=True)
+    own = own.tolist()
+    least = np.array([joined.least(z) for z in own], dtype=np.int64)
+
+    def given(i, j, apart, joins):
+        a, b = tid[i], tid[j]
+        return np.minimum(a, b), np.maximum(a, b), apart, np.full(len(a), joins)
+
     for k in range(int(group[-1]) + 1) if len(g) else ():
         rows = order[slice(*np.searchsorted(group, [k, k + 1]))]
         sides = [(rows, rows)] if role[rows[0]] == 2 else [(rows[role[rows] == 0], rows[role[rows] == 1])]
         for x, y in sides:
             for i, j in _windows(n[x], n[y], similarity, x is y):
                 i, j = x[i], y[j]
-                ok = c[i] != c[j]
+                ok = least[code[i]] != least[code[j]]
                 i, j = i[ok], j[ok]
                 apart = facts.apart(i, facts, j, similarity)
-                ok = np.flatnonzero(apart >= 0)
-                edits = facts.aligned(i[ok], facts, j[ok], similarity)
-                ok = ok[edits >= 0]
-                if few is not None:
-                    ok = ok[np.unique(np.concatenate([_likest(i[ok], apart[ok], few), _likest(j[ok], apart[ok], few)]))]
-                a, b = tid[i[ok]], tid[j[ok]]
-                if len(a):
-                    yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), apart[ok]], axis=1), axis=0)
+                ok = apart >= 0
+                i, j, apart = i[ok], j[ok], apart[ok]
+                if few is None:
+                    at = np.flatnonzero(facts.aligned(i, facts, j, similarity) >= 0)
+                    yield given(i[at], j[at], apart[at], False)
+                    continue
+                left, take = np.flatnonzero(~(long[i] | long[j])), 1
+                while len(left):
+                    left = left[least[code[i[left]]] != least[code[j[left]]]]
+                    pick = np.unique(np.concatenate([_likest(z[left], apart[left], take) for z in (i, j)]))
+                    at, left, take = left[pick], np.delete(left, pick), 4 * take
+                    at = at[facts.aligned(i[at], facts, j[at], similarity) >= 0]
+                    at = at[joined.join(c[i[at]].tolist(), c[j[at]].tolist())]
+                    if len(at):
+                        least = np.array([joined.least(z) for z in own], dtype=np.int64)
+                        yield given(i[at], j[at], apart[at], True)
+                at = np.flatnonzero((long[i] | long[j]) & (least[code[i]] != least[code[j]]))
+                if len(at):
+                    at = at[np.unique(np.concatenate([_likest(z[at], apart[at], few) for z in (i, j)]))]
+                    yield given(i[at], j[at], apart[at], False)
 
 
 def _met(members: DataFrame, facts: DataFrame, similarity: float, few: int | None = None) -> DataFrame:
-    """Every pair (a, b) of members (bucket, tid, c) that share a bucket, differ in class c and may link; with ``few`` those likest ones of each member.
+    """Pairs (a, b, apart, joins) of members (bucket, tid, c) that share a bucket, differ in class c and may link.
+
+    With ``few``: of texts of ALIGNED words or fewer, pairs that join what all their pairs would join, with ``joins``; of pairs with a longer text the
+    likest of each member in its block. Without: all.
 
     The members of a bucket's largest class are dealt to blocks of about BLOCK and don't meet each
     other; the others go to every such block, and meet each other by pairs of blocks. So a class
@@ -487,9 +539,11 @@ def _met(members: DataFrame, facts: DataFrame, similarity: float, few: int | Non
     """
 
     def run(batches):
+        joined = _Joined()
+
         def given(t):
-            for got in _pairs_of(t, similarity, few):
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, k]) for k in range(3)], names=["a", "b", "apart"])
+            for got in _pairs_of(t, similarity, few, joined):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["a", "b", "apart", "joins"])
 
         held = None
         for batch in batches:
@@ -524,10 +578,14 @@ def _met(members: DataFrame, facts: DataFrame, similarity: float, few: int | Non
     among = other.select("tid", "c", F.explode(meet).alias("r"))
     rows = save(main.unionByName(come).unionByName(among).select("tid", "c", "r.role", "r.g"), "blocks")
     rows = rows.join(facts, "tid").select("g", "role", "c", "tid", "n", "hist").repartition("g").sortWithinPartitions("g")
-    pairs = rows.mapInArrow(run, "a long, b long, apart long").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    pairs = rows.mapInArrow(run, "a long, b long, apart long, joins boolean")
+    return pairs.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.any_value("joins").alias("joins"))
+
+
+def _likest_of(pairs: DataFrame, few: int | None) -> DataFrame:
+    """The pairs (a, b) that are among the ``few`` least apart of a or of b; without ``few`` all."""
     if few is None:
         return pairs.select("a", "b")
-    # a member has few of each block that it is in
     ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
     w = Window.partitionBy("end").orderBy("apart", "a", "b")
     return ends.withColumn("k", F.row_number().over(w)).where(F.col("k") <= few).select("a", "b").distinct()
@@ -601,17 +659,24 @@ def _classes(documents: DataFrame, k: int, minima: int, sketches: int, similarit
         comp, met = joined(comp, linked(more)), met.unionByName(more)
         forget(named)
         named = with_classes(comp)
-    # members of buckets that still hold more than one class meet each other: their likest first, which joins most classes, and then all
+    # members of buckets that still hold more than one class meet each other: first by pairs that join their classes by 16 bits of each word and,
+    # of longer texts, the likest; then all, if one of the first doesn't link by whole words, or there are longer texts
     for few in (FEW, None):
         found = save(_met(named, facts, similarity, few), "found")
-        # a member with any partner has a likest one; but those may all have met before, so others are looked for even where none of them is new
         if found.isEmpty():
             break
-        again = save(found.join(met, ["a", "b"], "left_anti"), "again")
+        joins, rest = found.where("joins").select("a", "b"), found.where("not joins")
+        again = save(joins.unionByName(_likest_of(rest, few)).join(met, ["a", "b"], "left_anti"), "again")
+        links = None
         if not again.isEmpty():
-            comp, met = joined(comp, linked(again)), met.unionByName(again)
+            links = linked(again)
+            comp, met = joined(comp, links), met.unionByName(again)
+        # a member with any such partner has a likest one; but those may all have met before, so others are looked for even where none of them is new
+        if few and rest.isEmpty() and links is not None and joins.join(links, ["a", "b"], "left_anti").isEmpty():
+            break
+        if few and links is not None:
             forget(named)
-            named = with_classes(comp) if few else None
+            named = with_classes(comp)
     named = reps.select("tid", "first").join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "first", F.coalesce("component", "tid").alias("c"))
     named = save(named, "classes")
     stays = named.groupBy("c").agg(F.min("first").alias("stays"))
@@ -628,8 +693,9 @@ def near_duplicates(documents: DataFrame, k: int = K, minima: int = MINIMA, sket
     third of all rows repeat costs one row. Other texts are candidates when one of their sketches
     agrees, and link when an alignment of their words has at most (1 - similarity) edits for each word of the longer. A member of buckets of
     equal sketches meets the smallest text of them all first, and then, for its class, that of each
-    bucket. Where a bucket then holds more than one class, the likest rows of different classes are
-    aligned, and then all pairs of different classes that may link, in blocks. No bucket, partner or candidate is capped.
+    bucket. Where a bucket then holds more than one class, its rows meet in blocks, which give the pairs that join
+    classes, and of longer texts the likest rows of different classes; these are aligned, and then all pairs of different classes that may
+    link, unless every pair was of the first kind and linked. No bucket, partner or candidate is capped.
 
     Empty and null texts are never near anything: each is its own class, and kept. Rows that
     repeat a doc_id with another text are judged each by its own text; of texts that a class holds
