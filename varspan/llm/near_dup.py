@@ -24,8 +24,8 @@ CHAIN = 3
 BINS, LONG = ((256, 1024), (1024, 4096), (4096, 16384)), 8192
 #: Counts are compared as sums of so many first, which rules most pairs out.
 COARSE = 8
-#: Words up to which texts of a block are aligned side by side, and cells of a step of that.
-ALIGNED, CELLS = 512, 1 << 20
+#: Words up to which texts are aligned in their block (blocks hold each word of them), and up to which many pairs side by side; cells of a step of that.
+ALIGNED, SIDE, CELLS = BINS[-1][0], 512, 1 << 20
 #: Rows of a block, and pairs that are compared at once.
 BLOCK, AT_ONCE = 2048, 200_000
 #: Likest partners of a row with a longer text, or that has one, which are aligned before the others.
@@ -175,7 +175,7 @@ class _Facts:
         n, m = self.n[i], other.n[j]
         most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
         out = np.zeros(len(i), dtype=np.int64)
-        short = np.flatnonzero(np.maximum(n, m) <= ALIGNED)
+        short = np.flatnonzero(np.maximum(n, m) <= SIDE)
         short = short[np.argsort(n[short], kind="stable")]
         read = lambda facts, at: [np.frombuffer(facts.held[x], dtype=np.uint16) for x in at]
         lo = 0
@@ -184,6 +184,9 @@ class _Facts:
             k = short[lo : lo + step]
             out[k] = _banded(read(self, i[k]), read(other, j[k]), most[k])
             lo += step
+        for k in np.flatnonzero((np.maximum(n, m) > SIDE) & (np.maximum(n, m) <= ALIGNED)).tolist():
+            d = _whole(*read(self, i[k : k + 1]), *read(other, j[k : k + 1]), int(most[k]))
+            out[k] = d if d <= most[k] else -1
         return out
 
     @staticmethod
@@ -448,6 +451,26 @@ def _likest(row: np.ndarray, apart: np.ndarray, few: int) -> np.ndarray:
     return order[at - first < few]
 
 
+class _Buckets:
+    """Sketches that rows (bucket, sk) carry, null in rows that carry none: two rows that do meet in the first bucket alone that they share."""
+
+    def __init__(self, bucket: pa.ChunkedArray, sk: pa.ChunkedArray):
+        some = np.flatnonzero(sk.is_valid().to_numpy())
+        self.bucket, self.at = bucket.to_numpy(), np.full(len(sk), -1, dtype=np.int64)
+        self.at[some] = np.arange(len(some))
+        self.sk = np.concatenate([x.flatten().to_numpy() for x in sk.chunks]).reshape(len(some), -1) if len(some) else None
+
+    def first(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i and j, which share a bucket, share none before it."""
+        out = np.ones(len(i), dtype=bool)
+        both = np.flatnonzero((self.at[i] >= 0) & (self.at[j] >= 0))
+        for lo in range(0, len(both), 1 << 14):
+            k = both[lo : lo + (1 << 14)]
+            x, y = self.sk[self.at[i[k]]], self.sk[self.at[j[k]]]
+            out[k] = x[np.arange(len(k)), (x == y).argmax(axis=1)] == self.bucket[i[k]]
+        return out
+
+
 class _Joined:
     """Classes that links have joined, by the least of each."""
 
@@ -476,6 +499,8 @@ class _Joined:
 def _pairs_of(t: pa.Table, similarity: float, few: int | None, joined: _Joined):
     """Pairs of rows (g, role, c, tid, n, hist) of whole groups g that may link: by how much their words differ, and whether they join two classes.
 
+    Rows may also have (bucket, sk); then two rows with sketches are a pair only in the first bucket that they share.
+
     With ``few``, texts of ALIGNED words or fewer are aligned to the end by 16 bits of each word, likest
     first, and of them those pairs are given that join two classes: classes that such pairs have joined need no more
     alignment. So a group gives fewer of them than it has rows, and if all of them link, nothing else that links is left to join. Pairs with a
@@ -485,6 +510,7 @@ def _pairs_of(t: pa.Table, similarity: float, few: int | None, joined: _Joined):
     g, role, c, tid, n = (t.column(x).to_numpy().astype(np.int64) for x in ("g", "role", "c", "tid", "n"))
     facts, order = _Facts(n, t.column("hist").to_pylist()), np.lexsort((n, g))
     g, long = g[order], n > ALIGNED
+    buckets = _Buckets(t.column("bucket"), t.column("sk")) if "sk" in t.column_names else None
     group = np.cumsum(np.append(False, g[1:] != g[:-1])).astype(np.int64)
     own, code = np.unique(c, return_inverse=True)
     own = own.tolist()
@@ -502,6 +528,9 @@ def _pairs_of(t: pa.Table, similarity: float, few: int | None, joined: _Joined):
                 i, j = x[i], y[j]
                 ok = least[code[i]] != least[code[j]]
                 i, j = i[ok], j[ok]
+                if buckets:
+                    ok = buckets.first(i, j)
+                    i, j = i[ok], j[ok]
                 apart = facts.apart(i, facts, j, similarity)
                 ok = apart >= 0
                 i, j, apart = i[ok], j[ok], apart[ok]
@@ -533,7 +562,8 @@ def _met(members: DataFrame, facts: DataFrame, similarity: float, few: int | Non
 
     The members of a bucket's largest class are dealt to blocks of about BLOCK and don't meet each
     other; the others go to every such block, and meet each other by pairs of blocks. So a class
-    however large, with a few strangers in its bucket, is copied not at all. Pairs are made in
+    however large, with a few strangers in its bucket, is copied not at all. Texts with sketches in
+    ``facts``, which are those too long to align side by side, meet in one of their buckets only. Pairs are made in
     arrays of bounded length inside a group of rows, and leave it only if the counts of their words and, of texts
     of ALIGNED words or fewer, an alignment there allow a link.
     """
@@ -566,18 +596,18 @@ def _met(members: DataFrame, facts: DataFrame, similarity: float, few: int | Non
     role = lambda r, *where: F.struct(F.lit(r).alias("role"), F.xxhash64("bucket", *where).alias("g"))
     own = F.col("own")
     # the largest class: one block, in which the others come to it
-    main = rows.where("c = main").select("tid", "c", role(0, F.lit("m"), number(F.col("mains"), 1)).alias("r"))
+    main = rows.where("c = main").select("tid", "c", "bucket", role(0, F.lit("m"), number(F.col("mains"), 1)).alias("r"))
     other = rows.where("c <> main").withColumn("own", number(F.col("others"), 2))
-    come = other.select("tid", "c", F.explode(F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: role(1, F.lit("m"), b))).alias("r"))
+    come = other.select("tid", "c", "bucket", F.explode(F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: role(1, F.lit("m"), b))).alias("r"))
     meet = F.transform(
         F.sequence(F.lit(0), F.col("others") - 1),
         lambda b: F.struct(
             F.when(own == b, 2).otherwise((own < b).cast("int")).alias("role"), F.xxhash64("bucket", F.lit("o"), F.least(own, b), F.greatest(own, b)).alias("g")
         ),
     )
-    among = other.select("tid", "c", F.explode(meet).alias("r"))
-    rows = save(main.unionByName(come).unionByName(among).select("tid", "c", "r.role", "r.g"), "blocks")
-    rows = rows.join(facts, "tid").select("g", "role", "c", "tid", "n", "hist").repartition("g").sortWithinPartitions("g")
+    among = other.select("tid", "c", "bucket", F.explode(meet).alias("r"))
+    rows = save(main.unionByName(come).unionByName(among).select("tid", "c", "bucket", "r.role", "r.g"), "blocks")
+    rows = rows.join(facts, "tid").select("g", "role", "c", "tid", "n", "hist", "bucket", "sk").repartition("g").sortWithinPartitions("g")
     pairs = rows.mapInArrow(run, "a long, b long, apart long, joins boolean")
     return pairs.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.any_value("joins").alias("joins"))
 
@@ -621,7 +651,8 @@ def _classes(documents: DataFrame, k: int, minima: int, sketches: int, similarit
     some = sk.where("tid is not null")
     reps = some.groupBy("tid").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.any_value(F.struct("sk", "n", "hist")).alias("m"))
     reps = save(reps.select("tid", "first", "m.sk", "m.n", "m.hist"), "reps")
-    facts = reps.select("tid", "n", "hist")
+    # sketches of what may meet a text that isn't aligned side by side; such texts have those of one kind
+    facts = reps.select("tid", "n", "hist", F.when((F.col("n") >= similarity * SIDE) & (F.col("n") > SHORT[-1][0]), F.col("sk")).alias("sk"))
     bands = reps.select("tid", F.explode("sk").alias("bucket"))
     # a bucket's rows: only those of two members or more go on
     leads = save(bands.groupBy("bucket").agg(F.min("tid").alias("lead"), F.max("tid").alias("_max")).where("lead < _max").select("bucket", "lead"), "leads")
