@@ -66,6 +66,9 @@ def test_no_kmer_is_exchanged(spark, tmp_path):
     got = queries.q_kmer_seeds(spark, str(tmp_path))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert rows(got) == want and want
+    got = queries.q_kmer_segments(spark, str(tmp_path))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == runs(want) and runs(want)
 
 
 def test_pairs_of_one_id_and_any_letters(spark):

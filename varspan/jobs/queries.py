@@ -1064,4 +1064,4 @@ def q_kmer_seeds(spark, d):
 
 @query(_sql(KMER, "kr AS (SELECT *, query_pos - row_number() OVER (PARTITION BY id, strand, ref_pos - query_pos ORDER BY query_pos) AS run FROM kp)", select="SELECT id, strand, min(query_pos) AS query_start, min(ref_pos) AS ref_start, count(*) + 16 AS length FROM kr GROUP BY id, strand, ref_pos - query_pos, run HAVING count(*) + 16 >= 30"))
 def q_kmer_segments(spark, d):
-    return kmers.segments(kmers.seeds(_kmer_pairs(spark, d)))
+    return kmers.pair_segments(_kmer_pairs(spark, d))
