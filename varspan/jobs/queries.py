@@ -1016,7 +1016,8 @@ def q_allele_labels(spark, d):
     rows = positions.repaired_insertions(runs.where("kind = 'INS'"), keys, "class").unionByName(runs.where("kind <> 'INS'").select(*keys, "run", "class", "n"))
     pair = positions.allele_pairs(positions.pixel_alleles(rows, keys, "class"), keys, "kind")
     both = [C.allele_inheritance(F.col("base_vaf"), F.col("base_class"), F.col("target_vaf"), F.col("target_class"), P.diff_freq, somatic) for somatic in (False, True)]
-    lines = pair.select(*keys, both[0].alias("label"), both[1].alias("somatic"))
+    # three groupings read them
+    lines = kept(pair.select(*keys, both[0].alias("label"), both[1].alias("somatic")))
     own = ["sample", "site", "kind"]
     count = lines.groupBy(*own).agg(F.count(ONE).alias("n"), F.count_if(F.col("somatic") == "NewCOMP").alias("somatic"))
     ends = compare.new_breakpoint_label(lines, own, "read_id").withColumnRenamed("label", "breakpoint")
